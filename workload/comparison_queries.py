@@ -36,8 +36,8 @@ _DISCRETE = f"{V_DOC}, {_tall_sql('v_doc', DOC_BINARY, 'y IS NOT NULL')}, {_TABL
 
 # erf(x) = exp(-x^2) * sum over n of x^(2n+1) / Gamma(n + 3/2)
 _ERFC = """(CASE WHEN {x} <= 0 THEN 1.0::DOUBLE WHEN {x} > 20 THEN 0.0::DOUBLE ELSE
-  1 - list_sum(list_transform(range(0, 1500), n ->
-  exp((2 * n + 1) * ln({x}) - {x} * {x} - lgamma(n + 1.5::DOUBLE)))) END)"""
+  1 - list_sum([exp((2 * n + 1) * ln({x}) - {x} * {x} - lgamma(n + 1.5::DOUBLE))
+                for n in range(0, 1500)]) END)"""
 
 _CHI2 = f"""{_DISCRETE}, chi AS (SELECT *, (pos1 + neg1)::DOUBLE AS r1, (pos2 + neg2)::DOUBLE AS r2,
     (pos1 + pos2)::DOUBLE AS c1, (neg1 + neg2)::DOUBLE AS c2 FROM ct),

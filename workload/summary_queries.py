@@ -393,7 +393,14 @@ def known_set_differences(spark, sf):
     return Q.known_set_differences(df, "name", "use_m", df.filter("truth = 1"))
 
 
-@query("same_members", """")
+def _set_sql(a: str, b: str) -> str:
+    return f"CAST(NOT EXISTS (({a} EXCEPT {b}) UNION ALL ({b} EXCEPT {a})) AS INTEGER)"
+
+
+@query("same_members", "SELECT " + _set_sql("SELECT c_nationkey FROM customer",
+                                            "SELECT n_nationkey FROM nation") + " AS same_keys, "
+       + _set_sql("SELECT c_mktsegment FROM customer", "SELECT o_orderpriority FROM orders")
+       + " AS same_segments")
 def same_members(spark, sf):
     orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
     nation = table(spark, sf, "nation")
