@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from counterpoise.operators.cleaning import (mark_selected, report_and_fill_nulls,
+                                             require_no_nulls)
+from counterpoise.operators.evaluate import brier, score_folds
+from counterpoise.operators.features import Preparation, prepare
+from counterpoise.operators.folds import stratified_folds
+from counterpoise.operators.hierarchy import duplicated_rows
+from counterpoise.operators.kernels import (FeatureMap, feature_map, kernel_matrix, mapped,
+                                            sum_vectors)
 from counterpoise.operators.skew import lookup
+from counterpoise.operators.summary import describe, histogram, mean_propensity_by_class
+from counterpoise.session import cut_lineage, scratch_path
+
+PROPENSITY = "P(s|x)"
 
 
 def saturated_propensity(df: DataFrame, target: str, cells: list[str], propensity: str = "ps",
@@ -20,8 +39,227 @@ def saturated_propensity(df: DataFrame, target: str, cells: list[str], propensit
     return inverse_propensity_weight(out, propensity, weight)
 
 
-def inverse_propensity_weight(df: DataFrame, propensity: str = "P(s|x)",
+def inverse_propensity_weight(df: DataFrame, propensity: str = PROPENSITY,
                               weight: str = "weight") -> DataFrame:
     """1 / P, neither clipped nor normalised; null where P is 0 (no labelled row is like it)."""
     p = F.col(f"`{propensity}`")
     return df.withColumn(weight, F.when(p > 0, 1 / p))
+
+
+def l2_strength(c: float, total_weight: float) -> float:
+    """Spark's regParam with the same optimum as a sum of losses times ``c`` plus half the norm."""
+    return 1.0 / (c * total_weight)
+
+
+def fit_logistic(train: DataFrame, features: list[str], target: str, c: float = 1.0,
+                 weight: str | None = None, max_iter: int = 200):
+    """L2-penalised logistic regression; returns a function adding ``probability`` to a table."""
+    total = train.agg(F.count(F.lit(1)) if weight is None else F.sum(weight)).first()[0]
+    assembler = VectorAssembler(inputCols=features, outputCol="_x")
+    model = LogisticRegression(
+        featuresCol="_x", labelCol="_y", regParam=l2_strength(c, float(total)), elasticNetParam=0.0,
+        standardization=False, maxIter=max_iter, tol=1e-10,
+        **({"weightCol": weight} if weight else {})
+    ).fit(assembler.transform(train.withColumn("_y", F.col(target).cast("double"))))
+
+    def apply(df: DataFrame, out: str = "probability") -> DataFrame:
+        scored = model.transform(assembler.transform(df))
+        return scored.withColumn("_p", vector_to_array("probability")[1]).select(
+            *[F.col(f"`{c}`") for c in df.columns], F.col("_p").alias(out))
+    return model, apply
+
+
+def propensity_settings(key: str, features: list[str], categorical: list[str],
+                        **options) -> Preparation:
+    return Preparation(features=features, target="selected", categorical=categorical, keep=[key],
+                       **options)
+
+
+def propensity_logit(df: DataFrame, key: str, target: str, features: list[str],
+                     categorical: list[str], **options) -> DataFrame:
+    """Add P(selected | features) and its inverse as weight to every row.
+
+    Labelled rows count as selected; that is also the target of the category encoding.  ``options``
+    go to the preparation (``impute``, ``neighbours``, ...).
+    """
+    marked = mark_selected(df, target)
+    prepared = prepare(propensity_settings(key, features, categorical, **options), marked)
+    _, apply = fit_logistic(prepared.train, prepared.features, "selected")
+    scores = apply(prepared.train).select(key, F.col("probability").alias(PROPENSITY))
+    out = df.join(scores, on=key, how="left")
+    return inverse_propensity_weight(out)
+
+
+def duplicate_report(df: DataFrame, features: list[str]) -> DataFrame:
+    """Rows that agree in all features of the selection model."""
+    return duplicated_rows(df, features)
+
+
+def propensity_diagnostics(df: DataFrame, target: str, propensity: str = PROPENSITY,
+                           width: float = 0.001) -> dict[str, DataFrame]:
+    """Describe P on all and on unlabelled rows, its mean by class, and histograms."""
+    p = df.withColumnRenamed(propensity, "p")
+    unlabelled = p.filter(F.col(target).isNull())
+    labelled = p.filter(F.col(target).isNotNull())
+    return {
+        "all": describe(p, ["p"]), "unlabelled": describe(unlabelled, ["p"]),
+        "by_class": mean_propensity_by_class(p, target, "p"),
+        "histogram_all": histogram(p, "p", width=width),
+        "histogram_unlabelled": histogram(unlabelled, "p", width=width),
+        "histogram_labelled": histogram(labelled, "p", bins=101, by=target),
+        "histogram_labelled_fine": histogram(labelled, "p", bins=1001, by=target),
+    }
+
+
+def propensity_model_check(df: DataFrame, key: str, target: str, all_features: list[str],
+                           apriori: list[str], categorical: list[str], k: int = 10,
+                           repeats: int = 10, **options) -> DataFrame:
+    """Accuracy, recall and Brier score of the selection model per fold, with the a-priori and with
+    all features (feature_set, rep, fold, metric, value).
+    """
+    marked = mark_selected(df, target)
+    path = scratch_path(df.sparkSession, "selection-check")
+    for rep in range(repeats):
+        folded = cut_lineage(stratified_folds(marked, key, "selected", k, rep))
+        for fold in range(k):
+            prepared = prepare(propensity_settings(key, all_features, categorical, **options),
+                               folded.filter(F.col("fold") != fold),
+                               folded.filter(F.col("fold") == fold))
+            for name, features in (("apriori", apriori), ("all", all_features)):
+                _, apply = fit_logistic(prepared.train, features, "selected")
+                apply(prepared.test).select(
+                    F.lit(name).alias("feature_set"), F.lit(rep).alias("rep"),
+                    F.lit(fold).alias("fold"), "selected", "probability",
+                    (F.col("probability") > 0.5).cast("int").alias("prediction")
+                ).write.mode("append").parquet(path)
+    preds = df.sparkSession.read.parquet(path)
+    groups = ["feature_set", "rep", "fold"]
+    scores = score_folds(preds, groups, "selected", "prediction").filter(
+        F.col("metric").isin("accuracy", "recall"))
+    return scores.unionByName(brier(preds, groups, "selected", "probability").select(
+        *groups, F.lit("brier").alias("metric"), F.col("brier").alias("value")))
+
+
+def kernel_mean_moments(sample: DataFrame, population: DataFrame, key: str, columns: list[str],
+                        kernel: str = "rbf", gamma: float | None = None,
+                        degree: int | None = None, exact_rows: int = 5000,
+                        size: int = 2048) -> DataFrame:
+    """kappa_i = n / m * sum over the population of k(x_i, z), for each sample row (key, kappa).
+
+    Exact for a sample of at most ``exact_rows`` rows, which every task then holds, and for
+    polynomial kernels of moderate degree; else by ``size`` random features.
+    """
+    require_no_nulls(sample, columns)
+    population, _ = report_and_fill_nulls(population.select(*columns), columns)
+    n, m = sample.count(), population.count()
+    fmap = feature_map(kernel, len(columns), gamma, degree, size)
+    vector = F.array(*[F.col(c).cast("double") for c in columns])
+    if n > exact_rows or fmap.kind == "poly":
+        total = sum_vectors(population.select(mapped(columns, fmap).alias("v")), "v") * (n / m)
+
+        @F.pandas_udf("double")
+        def dot(v: pd.Series) -> pd.Series:
+            return pd.Series(np.stack(v.to_numpy()) @ total)
+        return sample.select(key, dot(mapped(columns, fmap)).alias("kappa"))
+
+    rows = sample.select(F.col(key), vector.alias("v")).orderBy(key).limit(exact_rows).toPandas()
+    points = sample.sparkSession.sparkContext.broadcast(np.stack(rows["v"].to_numpy()))
+
+    def run(batches):
+        sums = np.zeros(n)
+        for batch in batches:
+            if len(batch):
+                sums += kernel_matrix(points.value, np.stack(batch["v"].to_numpy()), fmap).sum(axis=1)
+        yield pd.DataFrame({"i": np.arange(n), "s": sums})
+
+    sums = (population.select(vector.alias("v")).mapInPandas(run, "i int, s double")
+            .groupBy("i").agg((F.sum("s") * F.lit(n / m)).alias("kappa")))
+    kind = sample.schema[key].dataType.simpleString()
+    names = sample.sparkSession.createDataFrame(
+        [(i, v) for i, v in enumerate(rows[key].tolist())], f"i int, `{key}` {kind}")
+    return names.join(sums, on="i").select(key, "kappa")
+
+
+def _gram(df: DataFrame, size: int) -> np.ndarray:
+    """Sum of phi phi^T: one size x size matrix per task, added up."""
+    def run(batches):
+        total = np.zeros((size, size))
+        for batch in batches:
+            if len(batch):
+                z = np.stack(batch["phi"].to_numpy())
+                total += z.T @ z
+        yield pd.DataFrame({"i": np.arange(size), "row": list(total)})
+
+    flat = df.select("phi").mapInPandas(run, "i int, row array<double>").select(
+        "i", F.posexplode("row").alias("j", "x"))
+    rows = flat.groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros((size, size))
+    for r in rows:
+        out[r["i"], r["j"]] = r["x"]
+    return out
+
+
+def kernel_mean_matching(sample: DataFrame, population: DataFrame, key: str, columns: list[str],
+                         weight_bound: float = 1000.0, kernel: str = "rbf",
+                         gamma: float | None = None, degree: int | None = None, size: int = 256,
+                         iterations: int = 60, save_every: int = 10,
+                         out: str = "weight") -> tuple[DataFrame, list[float]]:
+    """Weights in [0, 1] that bring the sample's kernel mean to the population's (Huang et al. 2006).
+
+    Minimises w'Kw / 2 - kappa'w with |sum(w) - n| <= n * weight_bound / sqrt(n).  The kernel is a dot
+    product of feature vectors, so a step needs one vector sum over the sample; the steps are
+    accelerated projected gradient.  Also returns the objective after each step.
+    """
+    require_no_nulls(sample, columns)
+    population, _ = report_and_fill_nulls(population.select(*columns), columns)
+    fmap = feature_map(kernel, len(columns), gamma, degree, size)
+    n = sample.count()
+    goal = sum_vectors(population.select(mapped(columns, fmap).alias("v")), "v")
+    goal *= n / population.count()
+    state = cut_lineage(sample.select(key, mapped(columns, fmap).alias("phi"),
+                                      F.lit(0.5).alias("w"), F.lit(0.5).alias("before")))
+    length = float(np.linalg.eigvalsh(_gram(state, len(goal))).max())
+    rate = 1.0 / max(length, 1e-12)
+    least = n * (1 - weight_bound / math.sqrt(n))
+    most = n * (1 + weight_bound / math.sqrt(n))
+    total = before = sum_vectors(state, "phi", "w")
+    history, moment = [], 1.0
+    for step in range(iterations):
+        following = (1 + math.sqrt(1 + 4 * moment * moment)) / 2
+        push = (moment - 1) / following
+        moment = following
+        slope = (total + push * (total - before) - goal) * rate
+        state = _step(state, key, slope, push, 0.0)
+        state = _within_sum(state, least, most)
+        if (step + 1) % save_every == 0:
+            state = cut_lineage(state)
+        before, total = total, sum_vectors(state, "phi", "w")
+        history.append(float(total @ total / 2 - goal @ total))
+    return sample.join(state.select(key, F.col("w").alias(out)), on=key, how="left"), history
+
+
+def _step(state: DataFrame, key: str, slope: np.ndarray, push: float, shift: float) -> DataFrame:
+    @F.pandas_udf("double")
+    def moved(phi: pd.Series, w: pd.Series, before: pd.Series) -> pd.Series:
+        return w + push * (w - before) - pd.Series(np.stack(phi.to_numpy()) @ slope)
+
+    raw = state.select(key, "phi", "w", moved("phi", "w", "before").alias("raw"))
+    return raw.select(key, "phi", F.least(F.greatest("raw", F.lit(0.0)), F.lit(1.0)).alias("w"),
+                      F.col("w").alias("before"), "raw")
+
+
+def _within_sum(state: DataFrame, least: float, most: float) -> DataFrame:
+    """Shift the unclipped weights so that their clipped sum lies within the bounds."""
+    n_bound = state.agg(F.count(F.lit(1)), F.sum("w")).first() if least > 0 else None
+    if n_bound is None or least <= n_bound[1] <= most:
+        return state.drop("raw")
+    wanted = least if n_bound[1] < least else most
+    low, high = state.agg(F.min(-F.col("raw")), F.max(1 - F.col("raw"))).first()
+    for _ in range(6):                          # 32 trial shifts per pass
+        trial = np.linspace(low, high, 33)
+        sums = state.agg(*[F.sum(F.least(F.greatest(F.col("raw") + F.lit(float(t)), F.lit(0.0)),
+                                         F.lit(1.0))) for t in trial]).first()
+        at = max(0, min(31, int(np.searchsorted(np.array(sums), wanted)) - 1))
+        low, high = float(trial[at]), float(trial[at + 1])
+    shifted = F.least(F.greatest(F.col("raw") + F.lit(high), F.lit(0.0)), F.lit(1.0))
+    return state.withColumn("w", shifted).drop("raw")

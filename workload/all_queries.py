@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from workload import assembly_queries, feature_queries, summary_queries, comparison_queries  # noqa: F401
+from workload import assembly_queries, feature_queries, model_queries, source_queries, summary_queries, comparison_queries  # noqa: F401
