@@ -15,7 +15,7 @@ from counterpoise.catalogue import Catalogue, DEFAULT_CATALOGUE
 from counterpoise.functions.scalars import genus_of_name
 from counterpoise.operators.cleaning import (align_schema, derive_names, derive_species_id,
                                              rename_columns, require_columns)
-from counterpoise.operators.skew import lookup
+from counterpoise.operators.skew import key_counts, lookup
 
 LEVELS = ("precise", "species", "genera")
 _MAX_SETS = 62
@@ -211,8 +211,11 @@ def enrich(df: DataFrame, rules: list[FlagRule | ValueRule],
         if lev in tables:
             merged = _merge_tables(tables[lev], columns[lev])
             merged = merged.select("key", *[F.col(c).alias(f"{lev}_{c}") for c in columns[lev]])
+            # lookups leave the keys as they are, so the rows per key are counted on the bare table
+            counts = None if lev == "precise" else key_counts(
+                df.select(F.col(keys[lev]).alias("key")), ["key"])
             out = lookup(out, merged, {keys[lev]: "key"}, [f"{lev}_{c}" for c in columns[lev]],
-                         unique_left=lev == "precise")
+                         counts=counts, unique_left=lev == "precise")
 
     new: dict[str, Column] = {}
     for i, (rule, level) in enumerate(flags):

@@ -26,20 +26,19 @@ def _limits(df: DataFrame, group: list[str], value: str,
 
 
 def with_bucket(df: DataFrame, group: list[str], value: str, buckets: int | None = None,
-                force: bool = False) -> DataFrame:
-    """Add ``_bucket``, which grows with ``value`` within a group (all 0 for small groups)."""
+                force: bool = False) -> DataFrame | None:
+    """Add ``_bucket``, which grows with ``value`` within a group; None if no group needs it."""
     count = buckets or default_buckets(df.sparkSession)
     limits, large = _limits(df, group, value, count)
     if not (large or force):
-        return df.withColumn("_bucket", F.lit(0))
-    spark = df.sparkSession
+        return None
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    if not group:
+        fixed = F.array(*[F.lit(v) for v in limits[0][0]]).cast(f"array<{kinds[value]}>")
+        return df.withColumn("_bucket", _position(fixed, F.col(value)))
     schema = ", ".join([f"`_g{i}` {kinds[g]}" for i, g in enumerate(group)]
                        + [f"_limits array<{kinds[value]}>"])
-    if not group:
-        per_value = F.array(*[F.lit(v) for v in limits[0][0]]).cast(f"array<{kinds[value]}>")
-        return df.withColumn("_bucket", _position(per_value, F.col(value)))
-    table = spark.createDataFrame(limits, schema)          # groups x buckets numbers
+    table = df.sparkSession.createDataFrame(limits, schema)          # groups x buckets numbers
     cond = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
     return (df.join(F.broadcast(table), on=cond, how="left")
             .withColumn("_bucket", _position(F.col("_limits"), F.col(value)))
@@ -57,15 +56,19 @@ def prefix_sums(df: DataFrame, group: list[str], value: str, measures: list[str]
     sums over the values that come earlier in the order.
     """
     cut = with_bucket(df, group, value, buckets, force_buckets)
-    keys = [*group, "_bucket"]
-    per_value = cut.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures])
+    bucketed = cut is not None
+    keys = [*group, "_bucket"] if bucketed else list(group)
+    rows = cut if bucketed else df
+    per_value = rows.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures])
     order = F.col(value).desc() if descending else F.col(value).asc()
-    inside = (Window.partitionBy(*keys).orderBy(order)
+    inside = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
               .rowsBetween(Window.unboundedPreceding, -1))
     local = per_value.withColumns({f"{m}_before": F.coalesce(F.sum(m).over(inside), F.lit(0))
                                    for m in measures})
+    if not bucketed:
+        return local
     # at most groups x buckets rows
-    totals = cut.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
+    totals = rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
     bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     earlier = (Window.partitionBy(*(group or [F.lit(0)])).orderBy(bucket_order)
                .rowsBetween(Window.unboundedPreceding, -1))
