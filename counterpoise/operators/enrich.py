@@ -15,7 +15,8 @@ from counterpoise.catalogue import Catalogue, DEFAULT_CATALOGUE
 from counterpoise.functions.scalars import genus_of_name
 from counterpoise.operators.cleaning import (align_schema, derive_names, derive_species_id,
                                              rename_columns, require_columns)
-from counterpoise.operators.skew import key_counts, lookup
+from counterpoise.operators.skew import lookup
+from counterpoise.session import cut_lineage
 
 LEVELS = ("precise", "species", "genera")
 _MAX_SETS = 62
@@ -69,17 +70,19 @@ def _genus_column(data: DataFrame, cat: Catalogue) -> Column:
     return F.col(cat.genus) if cat.genus in data.columns else genus_of_name(cat.name)
 
 
-def _keys_by_level(data: DataFrame, level: str, cat: Catalogue) -> dict[str, DataFrame]:
-    """Keys of a hit dataset that reach a row at each level up to ``level``."""
-    names = data.select(F.col(cat.name).alias("key"))
-    keys = {"precise": names}
+def _level_keys(data: DataFrame, level: str, bit: int, cat: Catalogue) -> DataFrame:
+    """(level, key, mask): the keys by which a dataset reaches rows at each level, from one pass."""
+    pairs = [("precise", F.col(cat.name))]
     if level != "precise":
-        keys["species"] = names
+        pairs.append(("species", F.col(cat.name)))
         if cat.species in data.columns:
-            keys["species"] = names.unionByName(data.select(F.col(cat.species).alias("key")))
+            pairs.append(("species", F.col(cat.species)))
     if level == "genera":
-        keys["genera"] = data.select(_genus_column(data, cat).alias("key"))
-    return {k: v.dropna() for k, v in keys.items()}
+        pairs.append(("genera", _genus_column(data, cat)))
+    cells = F.array(*[F.struct(F.lit(lev).alias("level"), key.cast("string").alias("key"))
+                      for lev, key in pairs])
+    return data.select(F.inline(cells)).dropna(subset=["key"]).withColumn(
+        "mask", F.lit(1 << bit).cast("long"))
 
 
 def _resolve(data: DataFrame, cat: Catalogue, original_name: str | None,
@@ -97,18 +100,13 @@ def _resolve(data: DataFrame, cat: Catalogue, original_name: str | None,
     ).select(cat.name, *[F.col(f"_row.`{c}`").alias(c) for c in cols], "_n", "_own")
 
 
-def check_duplicate_keys(data: DataFrame, cat: Catalogue = DEFAULT_CATALOGUE,
-                         original_name: str | None = None) -> None:
+def _check_resolved(resolved: DataFrame, cat: Catalogue, original_name: str | None) -> None:
     """Raise unless every duplicated name has exactly one row that carries its original name, and
     these are half of the duplicate rows.
     """
-    own = (F.lit(False) if original_name is None
-           else F.coalesce(F.col(cat.name) == F.col(original_name), F.lit(False)))
-    per_name = data.groupBy(cat.name).agg(F.count(F.lit(1)).alias("n"),
-                                          F.count_if(own).alias("own")).filter("n > 1")
-    row = per_name.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("own"), F.lit(0)),
-                       F.count_if(F.col("own") == 0), F.count_if(F.col("own") > 1),
-                       F.min(cat.name)).first()
+    row = resolved.filter("_n > 1").agg(
+        F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_own"), F.lit(0)),
+        F.count_if(F.col("_own") == 0), F.count_if(F.col("_own") > 1), F.min(cat.name)).first()
     duplicates, kept, uncovered, repeated, example = row
     if not duplicates:
         return
@@ -122,8 +120,9 @@ def check_duplicate_keys(data: DataFrame, cat: Catalogue = DEFAULT_CATALOGUE,
 def resolve_duplicate_keys(data: DataFrame, cat: Catalogue = DEFAULT_CATALOGUE,
                            original_name: str | None = None) -> DataFrame:
     """Of duplicated names keep the row whose name equals ``original_name``; raise if unclear."""
-    check_duplicate_keys(data, cat, original_name)
-    return _resolve(data, cat, original_name, order="").drop("_n", "_own", "_order")
+    resolved = cut_lineage(_resolve(data, cat, original_name, order=None))
+    _check_resolved(resolved, cat, original_name)
+    return resolved.drop("_n", "_own", "_order")
 
 
 def _merge_tables(tables: list[DataFrame], columns: list[str]) -> DataFrame:
@@ -138,16 +137,15 @@ def _mask_tables(rules: list[tuple[FlagRule, str]], cat: Catalogue) -> dict[str,
     """Per level a table (key, mask); bit 2i of the mask is rule i's hits, bit 2i+1 its absences."""
     if 2 * len(rules) > _MAX_SETS:
         raise ValueError(f"at most {_MAX_SETS // 2} flag rules per call")
-    parts: dict[str, list[DataFrame]] = {}
+    sets, levels = [], set()
     for i, (rule, level) in enumerate(rules):
+        levels |= set(LEVELS[:LEVELS.index(level) + 1])
         for bit, data in ((2 * i, rule.hits), (2 * i + 1, rule.absences)):
-            if data is None:
-                continue
-            for lev, keys in _keys_by_level(data, level, cat).items():
-                parts.setdefault(lev, []).append(
-                    keys.select("key", F.lit(1 << bit).cast("long").alias("mask")))
-    return {lev: reduce(DataFrame.unionByName, dfs).groupBy("key").agg(F.bit_or("mask").alias("mask"))
-            for lev, dfs in parts.items()}
+            if data is not None:
+                sets.append(_level_keys(data, level, bit, cat))
+    masks = cut_lineage(reduce(DataFrame.unionByName, sets).groupBy("level", "key").agg(
+        F.bit_or("mask").alias("mask")))
+    return {lev: masks.filter(F.col("level") == lev).select("key", "mask") for lev in levels}
 
 
 def _value_tables(rule: ValueRule, level: str, index: int, cat: Catalogue,
@@ -198,9 +196,9 @@ def enrich(df: DataFrame, rules: list[FlagRule | ValueRule],
         columns.setdefault(lev, []).append("mask")
     for i, (rule, level) in enumerate(values):
         require_columns(rule.data, rule.variables)
+        data = cut_lineage(_resolve(rule.data, cat, rule.original_name, rule.order))
         if check:
-            check_duplicate_keys(rule.data, cat, rule.original_name)
-        data = _resolve(rule.data, cat, rule.original_name, rule.order)
+            _check_resolved(data, cat, rule.original_name)
         for lev, table in _value_tables(rule, level, i, cat, data).items():
             tables.setdefault(lev, []).append(table)
             columns.setdefault(lev, []).extend(c for c in table.columns if c != "key")
@@ -211,11 +209,9 @@ def enrich(df: DataFrame, rules: list[FlagRule | ValueRule],
         if lev in tables:
             merged = _merge_tables(tables[lev], columns[lev])
             merged = merged.select("key", *[F.col(c).alias(f"{lev}_{c}") for c in columns[lev]])
-            # lookups leave the keys as they are, so the rows per key are counted on the bare table
-            counts = None if lev == "precise" else key_counts(
-                df.select(F.col(keys[lev]).alias("key")), ["key"])
             out = lookup(out, merged, {keys[lev]: "key"}, [f"{lev}_{c}" for c in columns[lev]],
-                         counts=counts, unique_left=lev == "precise")
+                         base=df, unique_left=lev == "precise",
+                         stored=not values)
 
     new: dict[str, Column] = {}
     for i, (rule, level) in enumerate(flags):

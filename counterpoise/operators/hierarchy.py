@@ -22,8 +22,7 @@ def resolve_to_species(df: DataFrame, cat: Catalogue = DEFAULT_CATALOGUE,
             .agg(F.max(y).alias("_best"), F.count_if(F.col(cat.rank) == cat.species_rank)
                  .alias("_n")))
     kept = df.filter(F.col(cat.rank) == cat.species_rank)
-    out = lookup(kept, best, {cat.species: cat.species}, ["_best"],
-                 counts=best.select(cat.species, "_n"))
+    out = lookup(kept, best, [cat.species], ["_best"], count="_n")
     value = F.when(F.col(cat.species).isNotNull(), F.col("_best")).otherwise(F.col(y))
     return out.withColumn(y, value).select(*df.columns)
 
@@ -51,8 +50,7 @@ def fill_from_genus(df: DataFrame, cat: Catalogue = DEFAULT_CATALOGUE,
     if not present:
         return df
     evidence = genus_evidence(df, present, cat.genus)
-    out = lookup(df, evidence, [cat.genus], [f"_g_{v}" for v in present],
-                 counts=evidence.select(cat.genus, "_n"))
+    out = lookup(df, evidence, [cat.genus], [f"_g_{v}" for v in present], count="_n")
     types = dict(df.dtypes)
     filled = {v: F.coalesce(F.col(v), F.col(f"_g_{v}").cast(types[v])) for v in present}
     return out.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns],
@@ -79,17 +77,16 @@ def keep_first_per_key(df: DataFrame, keys: list[str], order: list[str | Column]
 
 def duplicated_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """All rows whose values in ``columns`` occur more than once; nulls equal nulls."""
-    counts = key_counts(df, columns)
-    repeated = counts.filter("_n > 1").withColumn("_dup", F.lit(True))
-    return lookup(df, repeated, columns, ["_dup"], counts=counts,
+    repeated = key_counts(df, columns).filter("_n > 1").withColumn("_dup", F.lit(True))
+    return lookup(df, repeated, columns, ["_dup"], count="_n",
                   null_safe=True).filter("_dup").select(*df.columns)
 
 
 def later_duplicates(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     """Duplicate rows other than the first of each group; ``order`` is unique per row."""
     first = df.groupBy(*columns).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    return lookup(df, first.filter("_n > 1"), columns, ["_first"],
-                  counts=first.select(*columns, "_n"), null_safe=True).filter(
+    return lookup(df, first.filter("_n > 1"), columns, ["_first"], count="_n",
+                  null_safe=True).filter(
         F.col(order) > F.col("_first")).select(*df.columns)
 
 
@@ -102,9 +99,8 @@ def require_no_twins(df: DataFrame, columns: list[str]) -> None:
 
 def attach_group_size(df: DataFrame, columns: list[str], out: str = "size") -> DataFrame:
     """Number of rows with the same values in ``columns`` (nulls equal), on every row."""
-    counts = key_counts(df, columns)
-    return lookup(df, counts.withColumn(out, F.col("_n")), columns, [out], counts=counts,
-                  null_safe=True)
+    sizes = key_counts(df, columns).withColumn(out, F.col("_n"))
+    return lookup(df, sizes, columns, [out], count="_n", null_safe=True)
 
 
 def combination_frequency(df: DataFrame, columns: list[str], out: str = "P(x)") -> DataFrame:

@@ -18,7 +18,7 @@ ONE_TASK_ROWS = 1_000_000
 def _limits(df: DataFrame, group: list[str], value: str,
             buckets: int) -> tuple[list[tuple], bool]:
     """Per group the rows and the distinct quantile estimates of ``value``."""
-    at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    at = double_array([i / buckets for i in range(1, buckets)])
     rows = df.groupBy(*group).agg(F.count(value).alias("n"),
                                   F.percentile_approx(value, at, 10_000).alias("q")).collect()
     out = [(*row[:len(group)], sorted(set(row["q"] or []))) for row in rows]
@@ -34,19 +34,41 @@ def with_bucket(df: DataFrame, group: list[str], value: str, buckets: int | None
         return None
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     if not group:
-        fixed = F.array(*[F.lit(v) for v in limits[0][0]]).cast(f"array<{kinds[value]}>")
-        return df.withColumn("_bucket", _position(fixed, F.col(value)))
+        cuts = [float(v) for v in limits[0][0]]
+        return df.withColumn("_bucket", F.coalesce(count_at_most(
+            double_array(padded(cuts)), F.col(value), len(cuts)), F.lit(0)))
     schema = ", ".join([f"`_g{i}` {kinds[g]}" for i, g in enumerate(group)]
-                       + [f"_limits array<{kinds[value]}>"])
-    table = df.sparkSession.createDataFrame(limits, schema)          # groups x buckets numbers
+                       + ["_limits array<double>"])
+    longest = max(len(row[-1]) for row in limits)
+    fill = [float("inf")] * (len(padded([0.0] * longest)))
+    table = df.sparkSession.createDataFrame(                          # groups x buckets numbers
+        [(*row[:-1], ([float(v) for v in row[-1]] + fill)[:len(fill)]) for row in limits], schema)
     cond = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
     return (df.join(F.broadcast(table), on=cond, how="left")
-            .withColumn("_bucket", _position(F.col("_limits"), F.col(value)))
+            .withColumn("_bucket", F.coalesce(
+                count_at_most(F.col("_limits"), F.col(value), longest), F.lit(0)))
             .drop("_limits", *[f"_g{i}" for i in range(len(group))]))
 
 
-def _position(limits: Column, value: Column) -> Column:
-    return F.coalesce(F.size(F.filter(limits, lambda x: x <= value)), F.lit(0))
+def double_array(values: list[float]) -> Column:
+    """A literal array, passed to Spark as one text."""
+    return F.expr("array(" + ", ".join(
+        "double('Infinity')" if v == float("inf") else f"{float(v)!r}D" for v in values) + ")")
+
+
+def padded(limits: list[float]) -> list[float]:
+    """Limits filled up to 2**k - 1 numbers with infinity, for :func:`count_at_most`."""
+    return list(limits) + [float("inf")] * ((1 << len(limits).bit_length()) - 1 - len(limits))
+
+
+def count_at_most(limits: Column, value: Column, length: int) -> Column:
+    """How many of the ascending ``limits`` (padded) are at most ``value``, by binary search."""
+    steps = [1 << k for k in reversed(range(length.bit_length()))]
+    if not steps:
+        return F.lit(0)
+    x = value.cast("double")
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda acc, s: F.when(
+        F.element_at(limits, acc + s) <= x, acc + s).otherwise(acc))
 
 
 def prefix_sums(df: DataFrame, group: list[str], value: str, measures: list[str],

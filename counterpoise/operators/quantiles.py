@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from counterpoise.operators.prefix import count_at_most, double_array, padded
+
 SMALL = 1_000_000
 CUTS = 256
 
@@ -38,16 +40,18 @@ class _Stretch:
 
 def _narrow(base: DataFrame, stretches: list[_Stretch],
             known: dict[tuple[int, int], float]) -> list[_Stretch]:
-    at = F.array(*[F.lit(i / CUTS) for i in range(CUTS + 1)])
+    at = double_array([i / CUTS for i in range(CUTS + 1)])
     row = base.agg(*[F.percentile_approx(F.when(s.holds(), F.col(f"c{s.column}")), at, 10_000)
                      .alias(f"q{i}") for i, s in enumerate(stretches)]).first()
     cuts = [sorted(set(q)) for q in row]
     # slot 2j: strictly between cut j-1 and cut j; slot 2j+1: equal to cut j
     cells = []
     for i, s in enumerate(stretches):
-        limits, x = F.array(*[F.lit(v) for v in cuts[i]]), F.col(f"c{s.column}")
-        slot = (F.size(F.filter(limits, lambda c: c < x))
-                + F.size(F.filter(limits, lambda c: c <= x)))
+        x = F.col(f"c{s.column}")
+        limits = double_array(padded(cuts[i]))
+        at_most = count_at_most(limits, x, len(cuts[i]))
+        slot = 2 * at_most - F.when(at_most > 0, (F.element_at(limits, at_most) == x).cast("int")
+                                    ).otherwise(0)
         cells.append(F.when(s.holds(), F.struct(F.lit(i).alias("i"), slot.alias("slot"))))
     counts: dict[int, dict[int, int]] = {}
     for r in (base.select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
@@ -78,8 +82,15 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                        .alias(f"c{i}") for i, c in enumerate(columns)])
     counts = list(base.agg(*[F.count(f"c{i}") for i in range(len(columns))]).first())
     wanted, pending = {}, []
+    result: dict[str, list[float | None]] = {}
+    direct = [i for i, n in enumerate(counts) if n <= small]
+    if direct:                                  # a buffer of at most ``small`` values per column
+        at = F.array(*[F.lit(float(p)) for p in probs])
+        row = base.agg(*[F.percentile(f"c{i}", at) for i in direct]).first()
+        result = {columns[i]: list(q) if q is not None else [None] * len(probs)
+                  for i, q in zip(direct, row)}
     for i, n in enumerate(counts):
-        if not n:
+        if i in direct:
             continue
         spots = [(n - 1) * p for p in probs]
         wanted[i] = spots
@@ -105,10 +116,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         for row in found:                       # at most two ranks per column and probability
             s = pending[row["i"]]
             known[s.column, row["r"] + s.below] = row["v"]
-    result: dict[str, list[float | None]] = {}
     for i, c in enumerate(columns):
         if i not in wanted:
-            result[c] = [None] * len(probs)
             continue
         last = counts[i] - 1
         values = []
@@ -116,7 +125,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             a, b = known[i, int(h)], known[i, min(int(h) + 1, last)]
             values.append(a + (b - a) * (h - int(h)))
         result[c] = values
-    return result
+    return {c: result[c] for c in columns}
 
 
 def quantile_table(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:

@@ -1,17 +1,21 @@
 """Joins of a large table with a table of one row per key, safe under hot keys.
 
-A plain shuffle join sends all rows of one key to one task.  When the right side is itself a
-``groupBy`` on the key, adaptive skew splitting does not apply either, as the aggregate's
-partitioning is reused.  Here the keys that hold more than ``1/parts`` of the rows are found by an
-aggregate; there can be at most ``parts`` of them, so they and their values are broadcast with a
-proven bound.  The remaining keys are joined as usual (Spark broadcasts that side by itself when its
-size allows), and rows that were served already, or have a null key, are spread over all tasks.
+The keyed table is written to the shared folder and counted first.  Up to ``BROADCAST_ROWS`` rows it is
+broadcast, and the large table is not moved at all.  Beyond that, a plain shuffle join would send all
+rows of one key to one task; and where the right side is itself a ``groupBy`` on the key, adaptive skew
+splitting does not apply, as the aggregate's partitioning is reused.  So the keys that hold more than
+``1/parts`` of the rows are found by an aggregate; there can be at most ``parts`` of them, so they and
+their values are broadcast with a proven bound.  The other keys are joined by shuffle, and rows that
+were served already, or have a null key, are spread over all tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from counterpoise.session import cut_lineage
+
+BROADCAST_ROWS = 250_000
 HOT_PARTS = 4096
 HOT_MIN_ROWS = 100_000
 _SPREAD = 65_536
@@ -37,32 +41,42 @@ def _same(left: str, right: str, null_safe: bool) -> Column:
 
 
 def lookup(left: DataFrame, table: DataFrame, on: dict[str, str] | list[str], values: list[str],
-           counts: DataFrame | None = None, null_safe: bool = False, unique_left: bool = False,
+           count: str | None = None, base: DataFrame | None = None, null_safe: bool = False,
+           unique_left: bool = False, stored: bool = False, broadcast_rows: int = BROADCAST_ROWS,
            parts: int = HOT_PARTS, floor: int = HOT_MIN_ROWS) -> DataFrame:
     """Left join ``values`` of ``table`` (unique per key) to ``left``; the row count is unchanged.
 
-    ``on`` maps left to right key columns.  ``counts`` may give the rows per key of ``left`` (columns
-    named as the right keys, and ``_n``), as ``table`` itself often does; else they are counted.
-    With ``unique_left`` the left keys are unique too, so no key can be hot.
+    ``on`` maps left to right key columns.  ``count`` names a column of ``table`` with the rows per key
+    in ``left``; without it they are counted if needed, on ``base`` (a cheaper table with the same
+    keys) or on ``left``.  With ``unique_left`` the left keys are unique too, so no key can be hot.
+    ``stored`` says that ``table`` is read from storage as it is.
     """
     pairs = list((on if isinstance(on, dict) else {c: c for c in on}).items())
     keep = [F.col(c) for c in left.columns if c not in values]
-    cold = table.select(*[F.col(r).alias(f"_k{i}") for i, (_, r) in enumerate(pairs)],
-                        *[F.col(v).alias(f"_v_{v}") for v in values])
-    same = [_same(l, f"_k{i}", null_safe) for i, (l, _) in enumerate(pairs)]
-    if unique_left:
-        return left.select(*keep).join(cold, on=same, how="left").select(
+    keys = [f"_k{i}" for i in range(len(pairs))]
+    cold = table.select(
+        *[F.col(r).alias(k) for k, (_, r) in zip(keys, pairs)],
+        *[F.col(v).alias(f"_v_{v}") for v in values],
+        *([F.col(count).alias("_n")] if count else []))
+    if not stored:
+        cold = cut_lineage(cold)
+    same = [_same(l, k, null_safe) for k, (l, _) in zip(keys, pairs)]
+    small = cold.count() <= broadcast_rows
+    if small or unique_left:
+        right = cold.drop("_n")
+        return left.select(*keep).join(F.broadcast(right) if small else right, on=same,
+                                       how="left").select(
             *keep, *[F.col(f"_v_{v}").alias(v) for v in values])
 
-    if counts is None:
-        counts = key_counts(left.select(*[F.col(l).alias(r) for l, r in pairs]),
-                            [r for _, r in pairs])
+    counts = cold if count else key_counts((left if base is None else base).select(
+        *[F.col(l).alias(k) for k, (l, _) in zip(keys, pairs)]), keys)
+    hot_names = [f"_h{i}" for i in range(len(pairs))]
     hot = hot_only(counts, parts, floor).select(
-        *[F.col(r).alias(f"_h{i}") for i, (_, r) in enumerate(pairs)])
+        *[F.col(k).alias(h) for k, h in zip(keys, hot_names)])
     hot_values = hot.join(
-        cold, on=[_same(f"_h{i}", f"_k{i}", null_safe) for i in range(len(pairs))], how="left"
-    ).select(*[f"_h{i}" for i in range(len(pairs))],
-             *[F.col(f"_v_{v}").alias(f"_hv_{v}") for v in values], F.lit(True).alias("_hot"))
+        cold, on=[_same(h, k, null_safe) for k, h in zip(keys, hot_names)], how="left"
+    ).select(*hot_names, *[F.col(f"_v_{v}").alias(f"_hv_{v}") for v in values],
+             F.lit(True).alias("_hot"))
     served = F.coalesce(F.col("_hot"), F.lit(False))
     if not null_safe:
         for l, _ in pairs:
@@ -72,12 +86,11 @@ def lookup(left: DataFrame, table: DataFrame, on: dict[str, str] | list[str], va
     bucket = F.pmod(F.xxhash64(*[F.col(l) for l, _ in pairs]), F.lit(_SPREAD))
     flagged = (left.select(*keep)
                .join(F.broadcast(hot_values),
-                     on=[_same(l, f"_h{i}", null_safe) for i, (l, _) in enumerate(pairs)],
+                     on=[_same(l, h, null_safe) for h, (l, _) in zip(hot_names, pairs)],
                      how="left")
                .withColumn("_bucket", F.when(served, -1 - spread).otherwise(bucket)))
-    cold = cold.withColumn(
-        "_cold_bucket",
-        F.pmod(F.xxhash64(*[F.col(f"_k{i}") for i in range(len(pairs))]), F.lit(_SPREAD)))
-    return flagged.join(cold, on=[F.col("_bucket") == F.col("_cold_bucket"), *same],
+    keyed = cold.drop("_n").withColumn(
+        "_cold_bucket", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(_SPREAD)))
+    return flagged.join(keyed, on=[F.col("_bucket") == F.col("_cold_bucket"), *same],
                         how="left").select(
         *keep, *[F.coalesce(F.col(f"_hv_{v}"), F.col(f"_v_{v}")).alias(v) for v in values])

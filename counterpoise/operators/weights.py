@@ -35,7 +35,7 @@ def saturated_propensity(df: DataFrame, target: str, cells: list[str], propensit
     rate = df.groupBy(*cells).agg(
         F.count(F.lit(1)).alias("_n"),
         (F.count(target) / F.count(F.lit(1))).alias(propensity))
-    out = lookup(df, rate, cells, [propensity], counts=rate.select(*cells, "_n"), null_safe=True)
+    out = lookup(df, rate, cells, [propensity], count="_n", null_safe=True)
     return inverse_propensity_weight(out, propensity, weight)
 
 
