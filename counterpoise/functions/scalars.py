@@ -71,7 +71,8 @@ def round_half_even_2(x: Column | str) -> Column:
     integers.  Below that the result is 0 or 0.01 as 0.005 lies clear of the bound.
     """
     v = _c(x)
-    units = (v * F.lit(float(1 << 60))).cast("decimal(20,0)").cast("decimal(38,0)")
+    # by bigint, as a double becomes a decimal by its shortest text only
+    units = (v * F.lit(float(1 << 60))).cast("bigint").cast("decimal(20,0)")
     one = F.lit(1 << 60).cast("decimal(20,0)")
     twice = units * F.lit(200).cast("decimal(3,0)")          # 200 * v * 2**60
     low = F.floor(v * 100 + 1e-9).cast("int")                # candidate, at most one too high

@@ -90,7 +90,7 @@ def prefix_sums(df: DataFrame, group: list[str], value: str, measures: list[str]
     if not bucketed:
         return local
     # at most groups x buckets rows
-    totals = rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
+    totals = per_value.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
     bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     earlier = (Window.partitionBy(*(group or [F.lit(0)])).orderBy(bucket_order)
                .rowsBetween(Window.unboundedPreceding, -1))

@@ -202,13 +202,14 @@ def _gram(df: DataFrame, size: int) -> np.ndarray:
 def kernel_mean_matching(sample: DataFrame, population: DataFrame, key: str, columns: list[str],
                          weight_bound: float = 1000.0, kernel: str = "rbf",
                          gamma: float | None = None, degree: int | None = None, size: int = 256,
-                         iterations: int = 60, save_every: int = 10,
-                         out: str = "weight") -> tuple[DataFrame, list[float]]:
+                         iterations: int = 60, out: str = "weight") -> tuple[DataFrame, list[float]]:
     """Weights in [0, 1] that bring the sample's kernel mean to the population's (Huang et al. 2006).
 
-    Minimises w'Kw / 2 - kappa'w with |sum(w) - n| <= n * weight_bound / sqrt(n).  The kernel is a dot
-    product of feature vectors, so a step needs one vector sum over the sample; the steps are
-    accelerated projected gradient.  Also returns the objective after each step.
+    Minimises w'Kw / 2 - kappa'w with |sum(w) - n| <= n * weight_bound / sqrt(n), by accelerated
+    projected gradient.  The kernel is a dot product of feature vectors, so a step needs one vector
+    sum over the sample.  A row's weight depends on its own vector and on the sums so far only: each
+    job replays the steps from the stored vectors, so no state is kept and no lineage grows.  Also
+    returns the objective after each step.
     """
     require_no_nulls(sample, columns)
     population, _ = report_and_fill_nulls(population.select(*columns), columns)
@@ -216,50 +217,75 @@ def kernel_mean_matching(sample: DataFrame, population: DataFrame, key: str, col
     n = sample.count()
     goal = sum_vectors(population.select(mapped(columns, fmap).alias("v")), "v")
     goal *= n / population.count()
-    state = cut_lineage(sample.select(key, mapped(columns, fmap).alias("phi"),
-                                      F.lit(0.5).alias("w"), F.lit(0.5).alias("before")))
-    length = float(np.linalg.eigvalsh(_gram(state, len(goal))).max())
-    rate = 1.0 / max(length, 1e-12)
+    vectors = cut_lineage(sample.select(key, mapped(columns, fmap).alias("phi")))
+    gram = _gram(vectors, len(goal))
+    rate = 1.0 / max(float(np.linalg.eigvalsh(gram).max()), 1e-12)
     least = n * (1 - weight_bound / math.sqrt(n))
     most = n * (1 + weight_bound / math.sqrt(n))
-    total = before = sum_vectors(state, "phi", "w")
+    steps: list[tuple[np.ndarray, float, float]] = []          # slope, push, shift
+    total = before = _replayed_sums(vectors, steps, [0.0])[0][:-1]
     history, moment = [], 1.0
-    for step in range(iterations):
+    for _ in range(iterations):
         following = (1 + math.sqrt(1 + 4 * moment * moment)) / 2
-        push = (moment - 1) / following
-        moment = following
+        push, moment = (moment - 1) / following, following
         slope = (total + push * (total - before) - goal) * rate
-        state = _step(state, key, slope, push, 0.0)
-        state = _within_sum(state, least, most)
-        if (step + 1) % save_every == 0:
-            state = cut_lineage(state)
-        before, total = total, sum_vectors(state, "phi", "w")
+        steps.append((slope, push, 0.0))
+        sums = _replayed_sums(vectors, steps, [0.0])[0]
+        if not least <= sums[-1] <= most:
+            wanted = least if sums[-1] < least else most
+            low, high = (0.0, 64.0) if sums[-1] < least else (-64.0, 0.0)
+            for _ in range(4):                                 # 65 trial shifts per pass
+                trial = np.linspace(low, high, 65)
+                at = [v[-1] for v in _replayed_sums(vectors, steps, list(trial), only_sum=True)]
+                i = max(0, min(63, int(np.searchsorted(at, wanted)) - 1))
+                low, high = float(trial[i]), float(trial[i + 1])
+            steps[-1] = (slope, push, high if wanted == least else low)
+            sums = _replayed_sums(vectors, steps, [steps[-1][2]])[0]
+        before, total = total, sums[:-1]
         history.append(float(total @ total / 2 - goal @ total))
-    return sample.join(state.select(key, F.col("w").alias(out)), on=key, how="left"), history
 
-
-def _step(state: DataFrame, key: str, slope: np.ndarray, push: float, shift: float) -> DataFrame:
     @F.pandas_udf("double")
-    def moved(phi: pd.Series, w: pd.Series, before: pd.Series) -> pd.Series:
-        return w + push * (w - before) - pd.Series(np.stack(phi.to_numpy()) @ slope)
-
-    raw = state.select(key, "phi", "w", moved("phi", "w", "before").alias("raw"))
-    return raw.select(key, "phi", F.least(F.greatest("raw", F.lit(0.0)), F.lit(1.0)).alias("w"),
-                      F.col("w").alias("before"), "raw")
-
-
-def _within_sum(state: DataFrame, least: float, most: float) -> DataFrame:
-    """Shift the unclipped weights so that their clipped sum lies within the bounds."""
-    n_bound = state.agg(F.count(F.lit(1)), F.sum("w")).first() if least > 0 else None
-    if n_bound is None or least <= n_bound[1] <= most:
-        return state.drop("raw")
-    wanted = least if n_bound[1] < least else most
-    low, high = state.agg(F.min(-F.col("raw")), F.max(1 - F.col("raw"))).first()
-    for _ in range(6):                          # 32 trial shifts per pass
-        trial = np.linspace(low, high, 33)
-        sums = state.agg(*[F.sum(F.least(F.greatest(F.col("raw") + F.lit(float(t)), F.lit(0.0)),
-                                         F.lit(1.0))) for t in trial]).first()
-        at = max(0, min(31, int(np.searchsorted(np.array(sums), wanted)) - 1))
-        low, high = float(trial[at]), float(trial[at + 1])
-    shifted = F.least(F.greatest(F.col("raw") + F.lit(high), F.lit(0.0)), F.lit(1.0))
-    return state.withColumn("w", shifted).drop("raw")
+    def weight(phi: pd.Series) -> pd.Series:
+        raw = _replay(np.stack(phi.to_numpy()), steps)
+        return pd.Series(np.clip(raw + (steps[-1][2] if steps else 0.0), 0.0, 1.0))
+    found = vectors.select(key, weight("phi").alias(out))
+    return sample.join(found, on=key, how="left"), history
+
+
+def _replay(phi: np.ndarray, steps: list[tuple[np.ndarray, float, float]]) -> np.ndarray:
+    """Unclipped weights after the steps; the last shift is left to the caller."""
+    raw = w = before = np.full(len(phi), 0.5)
+    if not steps:
+        return raw
+    moves = phi @ np.stack([s[0] for s in steps], axis=1)
+    for t, (_, push, shift) in enumerate(steps):
+        raw = w + push * (w - before) - moves[:, t]
+        before, w = w, np.clip(raw + shift, 0.0, 1.0)
+    return raw
+
+
+def _replayed_sums(vectors: DataFrame, steps: list[tuple[np.ndarray, float, float]],
+                   shifts: list[float], only_sum: bool = False) -> list[np.ndarray]:
+    """Per trial shift of the last step: sum of w * phi, and last the sum of w."""
+    def run(batches):
+        total = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            phi = np.stack(batch["phi"].to_numpy())
+            raw = _replay(phi, steps)
+            w = np.clip(raw[:, None] + np.array(shifts)[None, :], 0.0, 1.0)
+            part = w.sum(axis=0)[:, None]
+            if not only_sum:
+                part = np.hstack([w.T @ phi, part])
+            total = part if total is None else total + part
+        if total is not None:
+            for i, row in enumerate(total):
+                yield pd.DataFrame({"i": i, "j": np.arange(len(row)), "s": row})
+
+    rows = (vectors.select("phi").mapInPandas(run, "i int, j int, s double")
+            .groupBy("i", "j").agg(F.sum("s").alias("s")).collect())
+    out = [np.zeros(max(r["j"] for r in rows) + 1) for _ in shifts]
+    for r in rows:
+        out[r["i"]][r["j"]] = r["s"]
+    return out
