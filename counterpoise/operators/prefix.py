@@ -104,11 +104,15 @@ def prefix_sums(df: DataFrame, group: list[str], value: str, measures: list[str]
 
 
 def hashed_row_numbers(df: DataFrame, group: list[str], key: str, seed: str,
-                       out: str = "position", digits: int = 3) -> DataFrame:
+                       out: str = "position", digits: int | None = None) -> DataFrame:
     """Number the rows of each group from 0 in the order of a hash of their unique key.
 
-    The leading hash digits are the bucket, so the buckets are even by themselves.
+    The leading hash digits are the bucket, so the buckets are even by themselves; by default there
+    are enough digits (up to 5) for about 200,000 rows per bucket.
     """
+    if digits is None:
+        rows = df.count()
+        digits = next((d for d in range(1, 5) if rows <= 200_000 * 16 ** d), 5)
     hashed = df.withColumn("_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(":" + seed))))
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
     keys = [*group, "_bucket"]

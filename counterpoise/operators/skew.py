@@ -62,10 +62,24 @@ def lookup(left: DataFrame, table: DataFrame, on: dict[str, str] | list[str], va
         cold = cut_lineage(cold)
     same = [_same(l, k, null_safe) for k, (l, _) in zip(keys, pairs)]
     small = cold.count() <= broadcast_rows
-    if small or unique_left:
-        right = cold.drop("_n")
-        return left.select(*keep).join(F.broadcast(right) if small else right, on=same,
-                                       how="left").select(
+    if small:
+        return left.select(*keep).join(F.broadcast(cold.drop("_n")), on=same, how="left").select(
+            *keep, *[F.col(f"_v_{v}").alias(v) for v in values])
+
+    # The partition number is the same again when a task is retried, unlike a random salt.
+    spread = F.pmod(F.spark_partition_id().cast("long") * 7919, F.lit(_SPREAD))
+    bucket = F.pmod(F.xxhash64(*[F.col(l) for l, _ in pairs]), F.lit(_SPREAD))
+    keyed = cold.drop("_n").withColumn(
+        "_cold_bucket", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(_SPREAD)))
+    unkeyed = F.lit(False)
+    if not null_safe:
+        for l, _ in pairs:
+            unkeyed = unkeyed | F.col(l).isNull()
+    in_bucket = F.col("_bucket") == F.col("_cold_bucket")
+    if unique_left:
+        return left.select(*keep).withColumn(
+            "_bucket", F.when(unkeyed, -1 - spread).otherwise(bucket)
+        ).join(keyed, on=[in_bucket, *same], how="left").select(
             *keep, *[F.col(f"_v_{v}").alias(v) for v in values])
 
     counts = cold if count else key_counts((left if base is None else base).select(
@@ -77,20 +91,11 @@ def lookup(left: DataFrame, table: DataFrame, on: dict[str, str] | list[str], va
         cold, on=[_same(h, k, null_safe) for k, h in zip(keys, hot_names)], how="left"
     ).select(*hot_names, *[F.col(f"_v_{v}").alias(f"_hv_{v}") for v in values],
              F.lit(True).alias("_hot"))
-    served = F.coalesce(F.col("_hot"), F.lit(False))
-    if not null_safe:
-        for l, _ in pairs:
-            served = served | F.col(l).isNull()
-    # The partition number is the same again when a task is retried, unlike a random salt.
-    spread = F.pmod(F.spark_partition_id().cast("long") * 7919, F.lit(_SPREAD))
-    bucket = F.pmod(F.xxhash64(*[F.col(l) for l, _ in pairs]), F.lit(_SPREAD))
+    served = F.coalesce(F.col("_hot"), F.lit(False)) | unkeyed
     flagged = (left.select(*keep)
                .join(F.broadcast(hot_values),
                      on=[_same(l, h, null_safe) for h, (l, _) in zip(hot_names, pairs)],
                      how="left")
                .withColumn("_bucket", F.when(served, -1 - spread).otherwise(bucket)))
-    keyed = cold.drop("_n").withColumn(
-        "_cold_bucket", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(_SPREAD)))
-    return flagged.join(keyed, on=[F.col("_bucket") == F.col("_cold_bucket"), *same],
-                        how="left").select(
+    return flagged.join(keyed, on=[in_bucket, *same], how="left").select(
         *keep, *[F.coalesce(F.col(f"_hv_{v}"), F.col(f"_v_{v}")).alias(v) for v in values])

@@ -52,8 +52,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, under a folder of this application, so that all of an
+    application's intermediate tables can be removed at once when it has ended.
+    """
+    application = f"counterpoise-{spark.sparkContext.applicationId}"
+    return f"{shared_dir(spark).rstrip('/')}/{application}/{name}-{uuid.uuid4().hex}"
 
 
 def default_buckets(spark: SparkSession) -> int:

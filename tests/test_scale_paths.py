@@ -52,6 +52,15 @@ def test_hot_rows_are_spread_over_tasks(spark):
     assert len(sizes) >= 6 and max(sizes) < 16_000
 
 
+def test_unique_keys_lookup_with_null_keys(spark):
+    left = spark.range(500).withColumn("key", F.when(F.col("id") % 3 != 0, F.col("id")))
+    table = spark.range(0, 500, 2).select(F.col("id").alias("key"), (F.col("id") * 10).alias("v"))
+    got = K.lookup(left, table, ["key"], ["v"], unique_left=True, broadcast_rows=0).collect()
+    assert len(got) == 500
+    assert all(r["v"] == (r["key"] * 10 if r["key"] is not None and r["key"] % 2 == 0 else None)
+               for r in got)
+
+
 def test_hot_keys_are_bounded(spark):
     counts = K.key_counts(hot_table(spark), ["key"])
     assert [r["key"] for r in K.hot_only(counts, parts=5, floor=10).collect()] == ["hot"]

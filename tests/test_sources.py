@@ -97,7 +97,7 @@ def finished(spark):
         return assembly.finalise(assembled)
 
 
-def test_assembly(finished):
+def test_assembly(spark, finished, tmp_path):
     whole = finished.everything
     assert whole.count() == 120
     assert finished.labelled.count() + finished.unlabelled.count() == 120
@@ -112,6 +112,11 @@ def test_assembly(finished):
     assert whole.filter("Alkaloids is not null and Tested_for_Alkaloids = 0").count() == 0
     # genus G4 has spines by hit 40, so all its species have emergence but the one known to lack them
     assert [r["Accepted_ID"] for r in whole.filter("Genus = 'G4' and Emergence = 0").collect()] == ["13"]
+    assert finished.changes.filter("before is not null").count() == 0
+    assembly.write_finished(finished, str(tmp_path), ["Rubiaceae"])
+    read = spark.read.option("header", True).csv(str(tmp_path / "all trait summary"))
+    assert read.filter("feature = 'Medicinal'").first()["count"] == "120"
+    assert spark.read.parquet(str(tmp_path / "labelled_traits")).count() == finished.labelled.count()
 
 
 def test_bias_plan(finished, tmp_path):
