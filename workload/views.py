@@ -111,12 +111,13 @@ TAXA_CATALOGUE = Catalogue(
     encoded=["Genus", "Family"], discarded=[], dropped_after_use=["Spines", "Hairs"])
 
 
+# Presence (R) and absence (A) sets: few lines qualify, so each level of the fallback adds some rows.
 def _sets(name: str, flag: str) -> str:
     return f"""{name} AS (
   SELECT DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN t.Accepted_Species ELSE t.Accepted_Name END
     AS Accepted_Name, t.Accepted_Species, t.Genus
   FROM lineitem JOIN v_taxa t ON l_orderkey = t.Accepted_ID
-  WHERE l_returnflag = '{flag}' AND l_quantity >= 50 AND l_partkey % 40 = 0)"""
+  WHERE l_returnflag = '{flag}' AND l_quantity >= 50 AND l_discount >= 0.1)"""
 
 
 V_SETS = V_TAXA + ", " + _sets("v_hit", "R") + ", " + _sets("v_abs", "A")
@@ -124,7 +125,7 @@ V_SETS = V_TAXA + ", " + _sets("v_hit", "R") + ", " + _sets("v_abs", "A")
 
 def v_set(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").filter(
-        (F.col("l_returnflag") == flag) & (F.col("l_quantity") >= 50) & (F.col("l_partkey") % 40 == 0))
+        (F.col("l_returnflag") == flag) & (F.col("l_quantity") >= 50) & (F.col("l_discount") >= 0.1))
     taxa = v_taxa(spark, sf_dir).select("Accepted_ID", "Accepted_Name", "Accepted_Species", "Genus")
     return (lines.join(taxa, F.col("l_orderkey") == F.col("Accepted_ID"))
             .select(F.when(F.col("l_linenumber") % 3 == 0, F.col("Accepted_Species"))
@@ -132,17 +133,19 @@ def v_set(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
                     "Accepted_Species", "Genus").distinct())
 
 
-# Values per order: one row per name, in the order of the order key; vd is unknown for some.
+# Values of orders with a highly discounted and taxed line: one row per name, in the order of the order
+# key; vd is unknown for some.
 V_VALUES = """v_values AS (
   SELECT t.Accepted_Name, t.Accepted_Species, t.Genus, t.Accepted_ID AS row_no,
     max(l_quantity) AS vq,
     max(CASE WHEN t.Accepted_ID % 4 <> 0 THEN l_extendedprice END) AS vd
-  FROM lineitem JOIN v_taxa t ON l_orderkey = t.Accepted_ID WHERE l_partkey % 23 = 0
+  FROM lineitem JOIN v_taxa t ON l_orderkey = t.Accepted_ID WHERE l_discount >= 0.1 AND l_tax >= 0.08
   GROUP BY t.Accepted_Name, t.Accepted_Species, t.Genus, t.Accepted_ID)"""
 
 
 def v_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = (table(spark, sf_dir, "lineitem").filter(F.col("l_partkey") % 23 == 0)
+    lines = (table(spark, sf_dir, "lineitem")
+             .filter((F.col("l_discount") >= 0.1) & (F.col("l_tax") >= 0.08))
              .groupBy("l_orderkey").agg(F.max("l_quantity").alias("vq"),
                                         F.max("l_extendedprice").alias("vd")))
     taxa = v_taxa(spark, sf_dir).select("Accepted_ID", "Accepted_Name", "Accepted_Species", "Genus")
