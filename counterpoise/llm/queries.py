@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from counterpoise.llm import bpe, fingerprints, licenses, mixing, shingles
+from counterpoise.llm import bpe, fingerprints, licenses, lines, mixing, neardup_vectors, shingles
 from counterpoise.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,13 @@ def license_scan(spark, sf_dir):
 @query("op3_ngram_jaccard")
 def ngram_jaccard(spark, sf_dir):
     return shingles.report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_embedding_dedup")
+def embedding_dedup(spark, sf_dir):
+    return neardup_vectors.report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_line_dedup")
+def line_dedup(spark, sf_dir):
+    return lines.report(table(spark, sf_dir, "documents"))

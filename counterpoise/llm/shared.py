@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -83,3 +84,57 @@ class Forest:
     def roots(self) -> np.ndarray:
         return np.fromiter((self.root(x) for x in range(len(self.up))), dtype=np.int64,
                            count=len(self.up))
+
+
+_U = np.uint64
+_SEGMENT = 1 << 17
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers."""
+    x = x ^ (x >> _U(32))
+    x = x * _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(32)
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(32)
+    return x
+
+
+@functools.lru_cache(maxsize=64)
+def factors(count: int, kind: int) -> np.ndarray:
+    """Odd 64-bit factors; a number times one of them, cut to 64 bits, is one hash of the number."""
+    return mix(np.arange(1, count + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(kind)) | _U(1)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of UTF-8 texts, and where each text's words start (and the end).
+
+    Words are runs without ASCII white space.  The texts go through together, in segments.
+    """
+    codes = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    inside = np.zeros(len(codes) + 2, dtype=bool)
+    inside[1:-1] = ~_WHITE[codes]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    limits = np.cumsum([0] + [len(text) + 1 for text in texts])
+    bounds = np.searchsorted(starts, limits)
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64), bounds
+    weights = factors(1 << 16, 900)
+    out, at = [], 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + _SEGMENT)))
+        low, high = starts[at], ends[to - 1]
+        begin, size = starts[at:to] - low, ends[at:to] - starts[at:to]
+        place = np.arange(high - low, dtype=np.int64)
+        place -= np.repeat(begin, np.append(begin[1:], high - low) - begin)
+        long = size.max() > 1 << 16
+        part = weights[place & 0xFFFF if long else np.minimum(place, 0xFFFF)]
+        if long:
+            part = part * factors(int(place.max() >> 16) + 1, 901)[place >> 16]
+        part *= (codes[low:high].astype(np.uint64) + _U(1)) * inside[low + 1:high + 1]
+        out.append(mix(np.add.reduceat(part, begin) + size.astype(np.uint64)))
+        at = to
+    return np.concatenate(out), bounds

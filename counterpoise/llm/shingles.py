@@ -11,17 +11,15 @@ groups of possibly similar sets, then the full sets of each group, exactly.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from counterpoise.llm.components import connected
-from counterpoise.llm.shared import Forest, by_tile, tiled, whole_groups
+from counterpoise.llm.shared import Forest, by_tile, factors, mix, tiled, whole_groups, word_hashes
 from counterpoise.operators.skew import lookup
 from counterpoise.session import cut_lineage
 
@@ -34,7 +32,6 @@ SMALL = 200             # sets in a bucket that are compared without a further s
 BLOCK = 256             # sets per block of a tile
 SKETCH = 64             # one-byte min-hashes per set
 SKETCH_LEAST = 0.55     # share of equal min-hashes from which sets are compared in full; 0.8 is 5 sd away
-_WORDS_KEPT = 300_000
 _U = np.uint64
 
 
@@ -44,92 +41,81 @@ def runs_for(miss: float = MISS, threshold: float = THRESHOLD, levels: int = LEV
     return math.ceil(math.log(miss) / math.log(1 - once))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit numbers."""
-    x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
-
-
-class Words(dict):
-    """Hashes of words, remembered up to a fixed number."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
+def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
+    """Per text the sorted distinct hashes of its runs of ``n`` lower-case words; of all words if fewer."""
+    words, bounds = word_hashes([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts])
+    weights = factors(n, 1)
+    runs = np.zeros(max(0, len(words) - n + 1), dtype=np.uint64)
+    for i in range(n):
+        runs += words[i:len(runs) + i] * weights[i]
+    runs = mix(runs)
+    out = []
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        if high - low >= n:
+            found = np.sort(runs[low:high - n + 1])
+            new = np.ones(len(found), dtype=bool)
+            np.not_equal(found[1:], found[:-1], out=new[1:])
+            out.append(found[new])
+        else:                                            # none or one
+            out.append(mix((words[low:high] * weights[:high - low]).sum(keepdims=True))[:high - low])
+    return out
 
 
-def shingle_set(text: str | None, words: Words, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the text's runs of ``n`` lower-case words; of all words if fewer."""
-    found = (text or "").lower().split()
-    if not found:
-        return np.empty(0, dtype=np.uint64)
-    row = np.fromiter(map(words.__getitem__, found), dtype=np.uint64, count=len(found))
-    n = min(n, len(row))
-    out = np.zeros(len(row) - n + 1, dtype=np.uint64)
-    for i in range(n):
-        out = _mix(out + row[i:len(row) - n + 1 + i] + _U(i + 1))
-    return np.unique(out)
-
-
-@functools.lru_cache(maxsize=4)
-def _seeds(count: int, kind: int) -> np.ndarray:
-    return _mix(np.arange(1, count + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(kind))
-
-
-def sketch_of(tokens: np.ndarray) -> bytes:
-    """Lowest byte of one-permutation min-hashes; an empty bin takes the next full bin's value."""
-    mixed = _mix(tokens + _U(77))
-    bins = (mixed >> _U(58)).astype(np.int64)
-    least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
-    np.minimum.at(least, bins, mixed & _U((1 << 58) - 1))
-    full = np.flatnonzero(least != np.iinfo(np.uint64).max)
-    # the bin that lends its value is chosen by a hash of the empty one, alike for all sets
-    where = np.arange(SKETCH)
-    empty = np.setdiff1d(where, full, assume_unique=True)
-    turn = 0
-    is_full = np.zeros(SKETCH, dtype=bool)
-    is_full[full] = True
-    while len(empty):
-        turn += 1
-        lender = (_mix(empty.astype(np.uint64) + _U(1000 * turn)) % _U(SKETCH)).astype(np.int64)
-        ok = is_full[lender]
-        least[empty[ok]] = least[lender[ok]]
-        empty = empty[~ok]
-    return (_mix(least) & _U(255)).astype(np.uint8).tobytes()
-
-
-def picks_of(tokens: np.ndarray, runs: int, levels: int) -> list[list[np.ndarray]]:
-    """Per level and run the picked tokens."""
-    limit = min(1.0, CHOICE / max(1, len(tokens)))
-    top = _U(min(int(limit * 2.0 ** 64), 2 ** 64 - 1))
-    return [[tokens[_mix(tokens ^ seed) <= top] for seed in _seeds(runs, level)]
-            for level in range(levels)]
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts).astype(np.int64)
+
+
+def describe_sets(sets: list[np.ndarray], runs: int, levels: int) -> pd.DataFrame:
+    """Digest, size, sketch and picks of sets; a pick is a token with the run in its last five bits."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    out = pd.DataFrame({"d1": np.zeros(len(sets), np.int64), "d2": np.zeros(len(sets), np.int64), "n": sizes})
+    sketches = [b""] * len(sets)
+    empty = np.empty(0, np.int64)
+    picks = [[empty] * len(sets) for _ in range(levels)]
+    full = np.flatnonzero(sizes)
+    if len(full):
+        tokens = np.concatenate([sets[i] for i in full])
+        ends = np.cumsum(sizes[full])
+        starts = np.r_[0, ends[:-1]]
+        out.loc[full, "d1"] = _sums(mix(tokens + _U(5)), starts)
+        out.loc[full, "d2"] = _sums(mix(tokens + _U(6)), starts)
+        marks = np.empty((len(full), SKETCH), dtype=np.uint8)
+        for k, factor in enumerate(factors(SKETCH, 2)):
+            marks[:, k] = mix(np.minimum.reduceat(tokens * factor, starts)) & _U(255)
+        for at, i in enumerate(full):
+            sketches[i] = marks[at].tobytes()
+        limit = np.minimum(1.0, CHOICE / sizes[full])
+        top = np.where(limit >= 1.0, _U(2 ** 64 - 1), (limit * 2.0 ** 63).astype(np.uint64) * _U(2))
+        top = np.repeat(top, sizes[full])
+        for level in range(levels):
+            where, found = [], []
+            for run, factor in enumerate(factors(runs, 10 + level)):
+                hit = np.flatnonzero(tokens * factor <= top)
+                where.append(hit)
+                found.append((tokens[hit] & ~_U(31)) | _U(run))
+            where, found = np.concatenate(where), np.concatenate(found).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            found = found[order]
+            cuts = np.searchsorted(where[order], np.r_[0, ends])
+            for at, i in enumerate(full):
+                picks[level][i] = found[cuts[at]:cuts[at + 1]]
+    out["sketch"] = sketches
+    for level in range(levels):
+        out[f"l{level}"] = picks[level]
+    return out
 
 
 def described(docs: DataFrame, runs: int, levels: int, columns: list[str]) -> DataFrame:
-    """``columns`` of each row with the digest of its set, its size, sketch and picks."""
+    """``columns`` of each row with what :func:`describe_sets` says of its text."""
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields]
-                       + ["d1 long", "d2 long", "n int", "sketch binary", "picks array<array<array<long>>>"])
+                       + ["d1 long", "d2 long", "n int", "sketch binary"]
+                       + [f"l{level} array<long>" for level in range(levels)])
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
         for frame in frames:
-            for at in range(0, len(frame), 1000):
-                part = frame.iloc[at:at + 1000]
-                out = []
-                for text in part["text"]:
-                    tokens = shingle_set(text, words)
-                    out.append((int(_mix(tokens + _U(5)).sum().astype(np.int64)),
-                                int(_mix(tokens + _U(6)).sum().astype(np.int64)), len(tokens),
-                                sketch_of(tokens) if len(tokens) else b"",
-                                [[run.astype(np.int64) for run in level]
-                                 for level in picks_of(tokens, runs, levels)] if len(tokens) else []))
-                told = pd.DataFrame(out, columns=["d1", "d2", "n", "sketch", "picks"], index=part.index)
+            for at in range(0, len(frame), 256):
+                part = frame.iloc[at:at + 256].reset_index(drop=True)
+                told = describe_sets(shingle_sets(list(part["text"])), runs, levels)
                 yield pd.concat([part[columns], told], axis=1)
 
     return docs.select(*columns, "text").mapInPandas(rows, schema)
@@ -146,26 +132,23 @@ def classes_of(told: DataFrame) -> DataFrame:
 
 
 def candidates(picked: DataFrame, levels: int, small: int = SMALL) -> DataFrame:
-    """Rows ``(key, size, cid)`` of all buckets with two sets or more, from ``picked (cid, picks)``."""
-    rows = (picked.select("cid", "picks", F.posexplode(F.col("picks")[0]).alias("run", "found"))
-            .select("cid", "picks", "run", F.explode("found").alias("token"))
-            .select("cid", F.col("picks") if levels > 1 else F.lit(None).alias("picks"), "run",
-                    F.xxhash64("run", "token").alias("key")))
+    """Rows ``(key, size, cid)`` of all buckets with two sets or more, from ``picked (cid, l0, l1, ...)``."""
+    rows = picked.select("cid", F.explode("l0").alias("key")).withColumn("run", F.col("key").bitwiseAND(31))
     out = None
     for level in range(levels):
-        # picks stay behind; the keys alone say which buckets live
-        slim = cut_lineage(rows.select("cid", "run", "key"))
+        slim = cut_lineage(rows)
         sizes = cut_lineage(slim.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
         live = lookup(slim, sizes, ["key"], ["size"], stored=True).where("size is not null")
         last = level == levels - 1
-        kept = live if last else live.where(F.col("size") <= small)
-        out = kept.select("key", "size", "cid") if out is None else out.unionByName(kept.select("key", "size", "cid"))
+        kept = (live if last else live.where(F.col("size") <= small)).select("key", "size", "cid")
+        out = kept if out is None else out.unionByName(kept)
         if last or sizes.where(F.col("size") > small).isEmpty():
             return out
-        split = live.where(F.col("size") > small).select("cid", "run", "key")
-        rows = (split.join(picked.select("cid", F.col("picks")[level + 1].alias("more")), "cid")
-                .select("cid", "run", "key", F.explode(F.get("more", F.col("run"))).alias("token"))
-                .select("cid", "run", F.xxhash64("key", "token").alias("key")))
+        deeper = F.filter(f"l{level + 1}", lambda x: x.bitwiseAND(31) == F.col("run"))
+        rows = (live.where(F.col("size") > small).select("cid", "run", "key")
+                .join(picked.select("cid", f"l{level + 1}"), "cid")
+                .select("cid", "run", "key", F.explode(deeper).alias("token"))
+                .select("cid", F.xxhash64("key", "token").alias("key"), "run"))
     return out
 
 
@@ -179,11 +162,15 @@ def _alike(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if end - start < 2:
                 continue
             marks = np.frombuffer(b"".join(frame["sketch"].iloc[start:end]), np.uint8).reshape(-1, SKETCH)
-            forest = Forest(end - start)
+            roots = np.arange(end - start)
             for i in range(len(marks) - 1):
-                for j in np.flatnonzero((marks[i + 1:] == marks[i]).sum(axis=1) >= need):
-                    forest.join(i, i + 1 + int(j))
-            own, roots = cids[start:end], forest.roots()
+                apart = i + 1 + np.flatnonzero(roots[i + 1:] != roots[i])
+                if len(apart):
+                    hit = apart[(marks[apart] == marks[i]).sum(axis=1) >= need]
+                    for root in np.unique(roots[hit]):
+                        low, high = sorted((root, roots[i]))
+                        roots[roots == high] = low
+            own = cids[start:end]
             tied = np.flatnonzero(roots != np.arange(len(roots)))
             left.append(own[roots[tied]])
             right.append(own[tied])
@@ -256,8 +243,8 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) ->
     heads = classes.select("cid", F.col("first_doc").alias("_doc"), F.col("first_th").alias("_th"))
     picked = cut_lineage(told.where("n > 0").join(
         heads, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("th").eqNullSafe(F.col("_th")))
-        .select("cid", "n", "sketch", "picks").dropDuplicates(["cid"]))
-    buckets = candidates(picked.select("cid", "picks"), levels).join(picked.select("cid", "sketch"), "cid")
+        .select("cid", "sketch", *[f"l{level}" for level in range(levels)]).dropDuplicates(["cid"]))
+    buckets = candidates(picked, levels).join(picked.select("cid", "sketch"), "cid")
     edges = by_tile(tiled(buckets, "key", "size", "cid", 4 * BLOCK), "key").select(
         "key", "tile_i", "tile_j", "cid", "sketch").mapInPandas(_alike, "a long, b long")
     coarse = connected(edges)
@@ -289,13 +276,12 @@ def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                   {"doc_id": "_doc", "th": "_th"}, ["node", "component", "copies"], null_safe=True, stored=True)
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
         for frame in frames:
-            for at in range(0, len(frame), 1000):
-                part = frame.iloc[at:at + 1000]
+            for at in range(0, len(frame), 256):
+                part = frame.iloc[at:at + 256]
                 yield pd.DataFrame({"cid": part["node"].astype("int64"), "component": part["component"].astype("int64"),
                                     "copies": part["copies"].astype("int64"),
-                                    "tokens": [shingle_set(t, words).tobytes() for t in part["text"]]})
+                                    "tokens": [s.tobytes() for s in shingle_sets(list(part["text"]))]})
 
     schema = "cid long, component long, copies long, tokens binary"
     return cut_lineage(rows.where("node is not null").mapInPandas(pack, schema).dropDuplicates(["cid"]))
