@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from counterpoise.llm import bpe, fingerprints, licenses, lines, mixing, neardup_vectors, shingles
+from counterpoise.llm import (bpe, fingerprints, licenses, lines, mixing, neardup_vectors, pseudo_likelihood,
+                              quality, shingles, toxicity)
 from counterpoise.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,18 @@ def embedding_dedup(spark, sf_dir):
 @query("op7_line_dedup")
 def line_dedup(spark, sf_dir):
     return lines.report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity")
+def toxic_scores(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_quality")
+def quality_scores(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_pseudo_likelihood")
+def language_model_scores(spark, sf_dir):
+    return pseudo_likelihood.report(table(spark, sf_dir, "documents"))
