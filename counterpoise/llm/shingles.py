@@ -29,6 +29,8 @@ CHOICE = 2.0            # expected picks of a set per run and level
 LEVELS = 3
 MISS = 1e-4             # wanted chance to miss a pair at the threshold, were it to go through all levels
 SMALL = 200             # sets in a bucket that are compared without a further split
+WAVE = 2                # runs of the first wave
+KEYED_ROWS = 1_000_000  # rows of two numbers that may be broadcast, 16 MB
 BLOCK = 256             # sets per block of a tile
 SKETCH = 64             # one-byte min-hashes per set
 SKETCH_LEAST = 0.55     # share of equal min-hashes from which sets are compared in full; 0.8 is 5 sd away
@@ -93,7 +95,9 @@ def describe_sets(sets: list[np.ndarray], runs: int, levels: int) -> pd.DataFram
                 hit = np.flatnonzero(tokens * factor <= top)
                 where.append(hit)
                 found.append((tokens[hit] & ~_U(31)) | _U(run))
-            where, found = np.concatenate(where), np.concatenate(found).astype(np.int64)
+            where, found = np.concatenate(where), np.concatenate(found)
+            # deeper picks only tell sets of one bucket apart: 27 bits of the token do
+            found = found.astype(np.int64) if not level else found.astype(np.uint32).view(np.int32)
             order = np.argsort(where, kind="stable")
             found = found[order]
             cuts = np.searchsorted(where[order], np.r_[0, ends])
@@ -109,7 +113,7 @@ def described(docs: DataFrame, runs: int, levels: int, columns: list[str]) -> Da
     """``columns`` of each row with what :func:`describe_sets` says of its text."""
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields]
                        + ["d1 long", "d2 long", "n int", "sketch binary"]
-                       + [f"l{level} array<long>" for level in range(levels)])
+                       + [f"l{level} array<{'int' if level else 'long'}>" for level in range(levels)])
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -131,38 +135,71 @@ def classes_of(told: DataFrame) -> DataFrame:
                        .withColumn("cid", F.monotonically_increasing_id()))
 
 
-def candidates(picked: DataFrame, levels: int, small: int = SMALL) -> DataFrame:
-    """Rows ``(key, size, cid)`` of all buckets with two sets or more, from ``picked (cid, l0, l1, ...)``."""
-    rows = picked.select("cid", F.explode("l0").alias("key")).withColumn("run", F.col("key").bitwiseAND(31))
+def candidates(picked: DataFrame, known: DataFrame | None, runs: list[int], levels: int, small: int = SMALL
+               ) -> DataFrame:
+    """Rows ``(key, size, cid, group)`` of the buckets of ``runs`` with sets of two groups or more.
+
+    ``picked`` has cid, l0, l1, ...; ``known (node, component)`` are the groups found so far.  A bucket whose
+    sets are all in one group is left out, as they will be compared in full anyway.
+    """
+    rows = picked.select("cid", F.explode("l0").alias("key")).withColumn(
+        "run", F.col("key").bitwiseAND(31).cast("int")).where(F.col("run").isin(runs))
+    if known is not None:
+        rows = lookup(rows, known, {"cid": "node"}, ["component"], stored=True, broadcast_rows=KEYED_ROWS)
+        rows = rows.withColumn("group", F.coalesce("component", "cid")).drop("component")
+    else:
+        rows = rows.withColumn("group", F.col("cid"))
     out = None
     for level in range(levels):
         slim = cut_lineage(rows)
-        sizes = cut_lineage(slim.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        live = lookup(slim, sizes, ["key"], ["size"], stored=True).where("size is not null")
+        sizes = cut_lineage(slim.groupBy("key").agg(
+            F.count(F.lit(1)).alias("size"), F.min("group").alias("low"), F.max("group").alias("high"))
+            .where("low < high").select("key", "size"))
+        live = lookup(slim, sizes, ["key"], ["size"], stored=True, broadcast_rows=KEYED_ROWS).where("size is not null")
         last = level == levels - 1
-        kept = (live if last else live.where(F.col("size") <= small)).select("key", "size", "cid")
+        kept = (live if last else live.where(F.col("size") <= small)).select("key", "size", "cid", "group")
         out = kept if out is None else out.unionByName(kept)
         if last or sizes.where(F.col("size") > small).isEmpty():
             return out
         deeper = F.filter(f"l{level + 1}", lambda x: x.bitwiseAND(31) == F.col("run"))
-        rows = (live.where(F.col("size") > small).select("cid", "run", "key")
+        rows = (live.where(F.col("size") > small).select("cid", "run", "key", "group")
                 .join(picked.select("cid", f"l{level + 1}"), "cid")
-                .select("cid", "run", "key", F.explode(deeper).alias("token"))
-                .select("cid", F.xxhash64("key", "token").alias("key"), "run"))
+                .select("cid", "run", "group", "key", F.explode(deeper).alias("token"))
+                .select("cid", F.xxhash64("key", "token").alias("key"), "run", "group"))
     return out
 
 
+def possible_groups(picked: DataFrame, runs: int, levels: int) -> DataFrame:
+    """Rows ``(node, component)``: classes put together by sketches in shared buckets.
+
+    Runs go in waves; after each, buckets that would only confirm a group are left out.
+    """
+    groups, edges = None, None
+    for wave in [list(range(WAVE)), list(range(WAVE, runs))]:
+        buckets = candidates(picked, groups, wave, levels).join(picked.select("cid", "sketch"), "cid")
+        found = by_tile(tiled(buckets, "key", "size", "cid", 4 * BLOCK), "key").select(
+            "key", "tile_i", "tile_j", "group", "sketch").mapInPandas(_alike, "a long, b long")
+        edges = cut_lineage(found if edges is None else
+                            found.union(groups.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+        groups = cut_lineage(connected(edges))
+    return groups
+
+
 def _alike(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges to one set of each group that the sketches of a tile put together."""
+    """Edges between the groups that the sketches of a tile put together; within a group none are compared."""
     need = int(SKETCH * SKETCH_LEAST)
     for frame, starts, ends in whole_groups(frames, ["key", "tile_i", "tile_j"]):
         left, right = [], []
-        cids = frame["cid"].to_numpy()
+        groups = frame["group"].to_numpy()
         for start, end in zip(starts, ends):
             if end - start < 2:
                 continue
             marks = np.frombuffer(b"".join(frame["sketch"].iloc[start:end]), np.uint8).reshape(-1, SKETCH)
-            roots = np.arange(end - start)
+            own = groups[start:end]
+            _, first, place = np.unique(own, return_index=True, return_inverse=True)
+            if len(first) < 2:
+                continue
+            roots = first[place]
             for i in range(len(marks) - 1):
                 apart = i + 1 + np.flatnonzero(roots[i + 1:] != roots[i])
                 if len(apart):
@@ -170,8 +207,7 @@ def _alike(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for root in np.unique(roots[hit]):
                         low, high = sorted((root, roots[i]))
                         roots[roots == high] = low
-            own = cids[start:end]
-            tied = np.flatnonzero(roots != np.arange(len(roots)))
+            tied = first[roots[first] != first]
             left.append(own[roots[tied]])
             right.append(own[tied])
         if left:
@@ -239,15 +275,14 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) ->
                                  ["doc_id", "th"]))
     classes = classes_of(told.select("doc_id", "th", "d1", "d2", "n"))
     rows = lookup(told.select("doc_id", "th", "d1", "d2", "n"), classes, ["d1", "d2", "n"], ["cid"], stored=True)
-    # picks and sketch from the row that stands for the class
-    heads = classes.select("cid", F.col("first_doc").alias("_doc"), F.col("first_th").alias("_th"))
-    picked = cut_lineage(told.where("n > 0").join(
-        heads, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("th").eqNullSafe(F.col("_th")))
-        .select("cid", "sketch", *[f"l{level}" for level in range(levels)]).dropDuplicates(["cid"]))
-    buckets = candidates(picked, levels).join(picked.select("cid", "sketch"), "cid")
-    edges = by_tile(tiled(buckets, "key", "size", "cid", 4 * BLOCK), "key").select(
-        "key", "tile_i", "tile_j", "cid", "sketch").mapInPandas(_alike, "a long, b long")
-    coarse = connected(edges)
+    # picks and sketch from the row that stands for the class; repeated rows have the same ones
+    heads = classes.where("n > 0").select("cid", F.col("first_doc").alias("_doc"), F.col("first_th").alias("_th"))
+    picked = told.join(heads, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("th").eqNullSafe(F.col("_th"))).select(
+        "cid", "sketch", *[f"l{level}" for level in range(levels)])
+    picked = cut_lineage(picked)
+    if picked.count() > heads.count():
+        picked = cut_lineage(picked.dropDuplicates(["cid"]))
+    coarse = possible_groups(picked, runs, levels)
     # full sets of the classes that have a possible partner
     wanted = cut_lineage(coarse.join(classes.select(F.col("cid").alias("node"), "copies", F.col("first_doc").alias("_doc"),
                                                     F.col("first_th").alias("_th")), "node"))
