@@ -20,10 +20,10 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-PIECES_KEPT = 200_000       # remembered encodings per Python worker; more than that are found again
+PIECES_KEPT = 100_000       # remembered encodings per Python worker; more than that are found again
 PIECE_KEPT_CHARS = 64
 _CHUNK = 100_000
 
@@ -174,11 +174,33 @@ def decode(ids: Column | str, path: str) -> Column:
     return raw(ids)
 
 
-def digests(docs, path: str, pattern: str):
+def coded(docs: DataFrame, columns: list[str], path: str, pattern: str) -> DataFrame:
+    """``columns`` of each row with ``ids`` and ``decoded``, the bytes that the ids stand for.
+
+    Both directions in one pass, given back a few rows at a time, so a worker never holds the ids of a
+    whole batch of documents.  Nulls and lengths as in :func:`encode`.
+    """
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields]
+                       + ["ids array<int>", "decoded binary"])
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, compiled = load(path), regex.compile(pattern)
+        pieces, bytes_of = _Pieces(vocabulary), vocabulary.bytes_of
+        for frame in frames:
+            for low in range(0, len(frame), 100):
+                part = frame.iloc[low:low + 100]
+                out = part[columns].copy()
+                ids = [encode_text(text, pieces, compiled) for text in part["text"]]
+                out["ids"] = pd.Series(ids, index=out.index, dtype=object)
+                out["decoded"] = [b"".join(map(bytes_of.__getitem__, row.tolist())) for row in ids]
+                yield out
+
+    return docs.select(*columns, "text").mapInPandas(rows, schema)
+
+
+def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document the number of ids and the digests of ids and of decoded bytes."""
-    coded = docs.select("doc_id", encode("text", path, pattern).alias("ids"))
-    back = coded.select("doc_id", "ids", decode("ids", path).alias("raw"))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
-                       .alias("ids_sha256"),
-                       F.sha2("raw", 256).alias("decoded_sha256"))
+    return coded(docs, ["doc_id"], path, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
