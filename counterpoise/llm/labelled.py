@@ -41,7 +41,9 @@ def calibrate(told: np.ndarray, label: np.ndarray, share: float, steps: int = 50
     told = np.asarray(told, float).reshape(len(label), -1)
     share = min(max(share, 1e-3), 1 - 1e-3)
     weight = np.where(label == 1, share / max(1, label.sum()), (1 - share) / max(1, (1 - label).sum())) * len(label)
-    x = np.column_stack([told, np.ones(len(label))])
+    middle, spread = told.mean(axis=0), told.std(axis=0)
+    spread = np.maximum(spread, 0.1)          # a column that hardly varies gets no steep slope
+    x = np.column_stack([(told - middle) / spread, np.ones(len(label))])
     beta = np.zeros(x.shape[1])
     beta[-1] = np.log(share / (1 - share))
     ridge = np.diag([1e-2] * told.shape[1] + [1e-6])
@@ -49,8 +51,10 @@ def calibrate(told: np.ndarray, label: np.ndarray, share: float, steps: int = 50
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (weight * (label - p)) - ridge @ beta
         hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge
-        move = np.clip(np.linalg.solve(hess, grad), -5, 5)
+        move = np.linalg.solve(hess, grad)
+        move *= min(1.0, 2.0 / max(np.abs(move).max(), 1e-30))       # keeps the direction
         beta = beta + move
         if np.abs(move).max() < 1e-8:
             break
-    return tuple(float(b) for b in beta)
+    slopes = beta[:-1] / spread
+    return (*(float(b) for b in slopes), float(beta[-1] - slopes @ middle))

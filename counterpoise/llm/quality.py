@@ -116,7 +116,8 @@ class Network:
         error = weight * (p - label) / weight.sum()
         d_mean, d_most = error[:, None] * self.out[:FILTERS], error[:, None] * self.out[FILTERS:]
         is_most = value == most[owner]
-        d_value = d_mean[owner] / counts[owner, None] + d_most[owner] * is_most
+        ties = np.add.reduceat(is_most.astype(np.float64), starts, axis=0)
+        d_value = d_mean[owner] / counts[owner, None] + d_most[owner] * is_most / ties[owner]
         d_top = d_value * (top > 0)
         rows = np.arange(len(bytes_))
         g_filters = np.zeros_like(self.filters)

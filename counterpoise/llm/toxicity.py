@@ -40,14 +40,18 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
+_GAPS = {ord(c): "\0" for c in _EDGE if c != START}
+
+
 def windows(word: str) -> list[str]:
     """A word cut into overlapping windows where it is long."""
     return [word[i:i + WIDTH] for i in range(0, max(1, len(word) - WIDTH // 2), WIDTH // 2)]
 
 
 def codes_of(words: list[str]) -> np.ndarray:
-    """Code points, one row per word of up to WIDTH characters, 0 behind the end."""
-    padded = "".join(w.ljust(WIDTH, "\0") for w in words)
+    """Code points, one row per word of up to WIDTH characters, 0 behind the end and for signs, which are
+    gaps that match nothing."""
+    padded = "".join(w.ljust(WIDTH, "\0") for w in words).translate(_GAPS)
     return np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, WIDTH)
 
 
@@ -97,7 +101,7 @@ class Nearness:
         if not len(words) or not self.landmarks:
             return out
         codes = codes_of(words)
-        length = (codes > 0).sum(axis=1)
+        length = np.maximum(1, WIDTH - (codes[:, ::-1] > 0).argmax(axis=1))
         bits = np.uint64(1) << np.arange(WIDTH, dtype=np.uint64)
         masks = {ord(c): (codes == ord(c)) @ bits for c in set("".join(self.landmarks))}
         some = np.zeros(len(words), dtype=bool)
