@@ -226,8 +226,10 @@ def enrich(df: DataFrame, rules: list[FlagRule | ValueRule],
         new[rule.var] = F.coalesce(*steps)
     for i, (rule, level) in enumerate(values):
         for v in rule.variables:
-            new[v] = F.coalesce(*[F.col(f"{lev}__x{i}_{v}")
-                                  for lev in LEVELS[:LEVELS.index(level) + 1]])
+            # a value that is there, or that an earlier rule found, stays
+            present = new.get(v, F.col(v) if v in df.columns else None)
+            found = [F.col(f"{lev}__x{i}_{v}") for lev in LEVELS[:LEVELS.index(level) + 1]]
+            new[v] = F.coalesce(*([] if present is None else [present]), *found)
     kept = [F.col(c) for c in df.columns if c not in new]
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns],
                       *[e.alias(v) for v, e in new.items() if v not in df.columns]) if new else \

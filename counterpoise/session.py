@@ -29,12 +29,16 @@ def build_session(app: str = "counterpoise", master: str | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests) is a local one made.
+    Only a local session that names none (tests) gets one of its own; on a cluster a folder of one machine
+    would lose rows without an error, so it must be named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="counterpoise-")
         spark.sparkContext.setCheckpointDir(named)
     return named
