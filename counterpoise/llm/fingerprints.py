@@ -22,7 +22,6 @@ DIGEST = 6                      # bytes of a node's digest in a fingerprint
 SECTION_PARAGRAPHS = 8          # paragraphs in a section, on average
 #: Leaves: sentences, and within longer ones stretches of 60 characters.
 _SENTENCE = re.compile(r"[^.!?]{0,60}[.!?]+\s*|[^.!?]{1,60}")
-_RANGES = 512
 
 
 def _digest(kind: bytes, data: bytes) -> str:
@@ -143,16 +142,11 @@ def next_texts(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spark = docs.sparkSession
-    count = min(_RANGES, max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    count = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     limits = sorted(set(rows.approxQuantile("doc_id", [i / count for i in range(1, count)], 0.2 / count)))
+    # the number of limits below an id; the expression's size is that of the limits
     cuts = F.expr("array(" + ", ".join(f"{int(x)}L" for x in limits) + ")") if limits else None
-    # the number of limits below an id, found by halving
-    place = F.lit(0)
-    step = 1 << (len(limits).bit_length() - 1) if limits else 0
-    while step:
-        reach = place + step
-        place = F.when((reach <= len(limits)) & (F.get(cuts, reach - 1) < F.col("doc_id")), reach).otherwise(place)
-        step //= 2
+    place = F.size(F.filter(cuts, lambda limit: limit < F.col("doc_id"))) if limits else F.lit(0)
     part = F.when(F.col("doc_id").isNull(), -1).otherwise(place).cast("int")
     order = F.struct(F.col("doc_id"), F.xxhash64("text"))
     placed = rows.withColumn("part", part)
