@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 DIGEST = 6                      # bytes of a node's digest in a fingerprint
+_FRAME = 64                     # documents whose fingerprints a task holds at a time
 SECTION_PARAGRAPHS = 8          # paragraphs in a section, on average
 #: Leaves: sentences, and within longer ones stretches of 60 characters.
 _SENTENCE = re.compile(r"[^.!?]{0,60}[.!?]+\s*|[^.!?]{1,60}")
@@ -168,16 +169,27 @@ def next_texts(docs: DataFrame) -> DataFrame:
             .select("doc_id", "text", "next_text"))
 
 
+def _told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edits, fingerprints and likeness of texts and next texts, in small frames: fingerprints of many long
+    texts are never held together."""
+    for frame in frames:
+        for low in range(0, len(frame), _FRAME):
+            part = frame.iloc[low:low + _FRAME]
+            rows = []
+            for doc_id, text, following in zip(part["doc_id"], part["text"], part["next_text"]):
+                cut = len(text) // 3
+                edited = text[:len(text) - cut] + following[:cut]
+                own, other = fingerprint(text), fingerprint(edited)
+                rows.append((len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, other,
+                             likeness(own, other), likeness(own, fingerprint(following))))
+            told = pd.DataFrame(rows, columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                                               "near_edited", "near_next"])
+            told.insert(0, "doc_id", part["doc_id"].to_numpy())
+            yield told
+
+
 def report(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness."""
-    rows = next_texts(docs).withColumn("n_chars", F.length("text").cast("long"))
-    cut = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut),
-                      F.substring(F.col("next_text"), F.lit(1), cut))
-    told = rows.withColumn("edited", edited).select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint_of("text").alias("fingerprint"), fingerprint_of("edited").alias("edited_fingerprint"),
-        fingerprint_of("next_text").alias("_next"))
-    return told.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                       likeness_of("fingerprint", "edited_fingerprint").alias("near_edited"),
-                       likeness_of("fingerprint", "_next").alias("near_next"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return next_texts(docs).mapInPandas(_told, f"doc_id {kind}, n_chars long, edited_sha256 string, "
+                                        "fingerprint string, edited_fingerprint string, near_edited double, near_next double")
