@@ -269,7 +269,13 @@ def missing_taxa(df: DataFrame, checklist: DataFrame, df_id: str = "Accepted_ID"
                  checklist_id: str = "kew_id") -> DataFrame:
     """Checklist rows whose id is not in ``df``; a null id counts as present if ``df`` has one."""
     known = df.select(F.col(df_id).alias("_id")).distinct()
-    return checklist.join(known, on=F.col(checklist_id).eqNullSafe(F.col("_id")), how="left_anti")
+    # null ids are decided by one row, so they never meet in one task of the join
+    null_known = known.agg(F.coalesce(F.bool_or(F.col("_id").isNull()), F.lit(False)).alias("_null_known"))
+    nulls = (checklist.where(F.col(checklist_id).isNull()).join(F.broadcast(null_known))
+             .where(~F.col("_null_known")).drop("_null_known"))
+    named = checklist.where(F.col(checklist_id).isNotNull()).join(
+        known.where(F.col("_id").isNotNull()), on=F.col(checklist_id) == F.col("_id"), how="left_anti")
+    return named.unionByName(nulls)
 
 
 def append_missing_taxa(df: DataFrame, checklist: DataFrame,

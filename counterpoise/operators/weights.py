@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,7 @@ from counterpoise.operators.evaluate import brier, score_folds
 from counterpoise.operators.features import Preparation, prepare
 from counterpoise.operators.folds import stratified_folds
 from counterpoise.operators.hierarchy import duplicated_rows
-from counterpoise.operators.kernels import (FeatureMap, feature_map, kernel_matrix, mapped,
-                                            sum_vectors)
+from counterpoise.operators.kernels import feature_map, kernel_sums, mapped, sum_vectors
 from counterpoise.operators.skew import lookup
 from counterpoise.operators.summary import describe, histogram, mean_propensity_by_class
 from counterpoise.session import cut_lineage, scratch_path
@@ -140,152 +140,129 @@ def propensity_model_check(df: DataFrame, key: str, target: str, all_features: l
         *groups, F.lit("brier").alias("metric"), F.col("brier").alias("value")))
 
 
+def _vector(columns: list[str]):
+    return F.array(*[F.col(c).cast("double") for c in columns])
+
+
 def kernel_mean_moments(sample: DataFrame, population: DataFrame, key: str, columns: list[str],
                         kernel: str = "rbf", gamma: float | None = None,
-                        degree: int | None = None, exact_rows: int = 5000,
+                        degree: int | None = None, method: str = "exact",
                         size: int = 2048) -> DataFrame:
     """kappa_i = n / m * sum over the population of k(x_i, z), for each sample row (key, kappa).
 
-    Exact for a sample of at most ``exact_rows`` rows, which every task then holds, and for
-    polynomial kernels of moderate degree; else by ``size`` random features.
+    ``exact`` at every size: polynomial kernels of few monomials by one vector sum, others block by block
+    of the sample (:func:`kernel_sums`).  ``random`` takes ``size`` random features instead, an estimate
+    that may be negative.  An empty sample gives no rows.
     """
     require_no_nulls(sample, columns)
     population, _ = report_and_fill_nulls(population.select(*columns), columns)
     n, m = sample.count(), population.count()
-    fmap = feature_map(kernel, len(columns), gamma, degree, size)
-    vector = F.array(*[F.col(c).cast("double") for c in columns])
-    if n > exact_rows or fmap.kind == "poly":
-        total = sum_vectors(population.select(mapped(columns, fmap).alias("v")), "v") * (n / m)
+    fmap = feature_map(kernel, len(columns), gamma, degree, size, method=method)
+    if method == "random" or fmap.short:
+        total = sum_vectors(population.select(mapped(columns, fmap).alias("v")), "v") * (n / max(m, 1))
 
         @F.pandas_udf("double")
         def dot(v: pd.Series) -> pd.Series:
             return pd.Series(np.stack(v.to_numpy()) @ total)
         return sample.select(key, dot(mapped(columns, fmap)).alias("kappa"))
 
-    rows = sample.select(F.col(key), vector.alias("v")).orderBy(key).limit(exact_rows).toPandas()
-    points = sample.sparkSession.sparkContext.broadcast(np.stack(rows["v"].to_numpy()))
-
-    def run(batches):
-        sums = np.zeros(n)
-        for batch in batches:
-            if len(batch):
-                sums += kernel_matrix(points.value, np.stack(batch["v"].to_numpy()), fmap).sum(axis=1)
-        yield pd.DataFrame({"i": np.arange(n), "s": sums})
-
-    sums = (population.select(vector.alias("v")).mapInPandas(run, "i int, s double")
-            .groupBy("i").agg((F.sum("s") * F.lit(n / m)).alias("kappa")))
-    kind = sample.schema[key].dataType.simpleString()
-    names = sample.sparkSession.createDataFrame(
-        [(i, v) for i, v in enumerate(rows[key].tolist())], f"i int, `{key}` {kind}")
-    return names.join(sums, on="i").select(key, "kappa")
-
-
-def _gram(df: DataFrame, size: int) -> np.ndarray:
-    """Sum of phi phi^T: one size x size matrix per task, added up."""
-    def run(batches):
-        total = np.zeros((size, size))
-        for batch in batches:
-            if len(batch):
-                z = np.stack(batch["phi"].to_numpy())
-                total += z.T @ z
-        yield pd.DataFrame({"i": np.arange(size), "row": list(total)})
-
-    flat = df.select("phi").mapInPandas(run, "i int, row array<double>").select(
-        "i", F.posexplode("row").alias("j", "x"))
-    rows = flat.groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros((size, size))
-    for r in rows:
-        out[r["i"], r["j"]] = r["x"]
-    return out
+    points = cut_lineage(sample.select(key, _vector(columns).alias("v"))
+                         .withColumn("i", F.monotonically_increasing_id()))
+    sums = kernel_sums(points, population.select(_vector(columns).alias("v"), F.lit(1.0).alias("weight")),
+                       fmap)
+    return points.select(key, "i").join(sums, "i").select(key, (F.col("s") * F.lit(n / max(m, 1))).alias("kappa"))
 
 
 def kernel_mean_matching(sample: DataFrame, population: DataFrame, key: str, columns: list[str],
                          weight_bound: float = 1000.0, kernel: str = "rbf",
-                         gamma: float | None = None, degree: int | None = None, size: int = 256,
-                         iterations: int = 60, out: str = "weight") -> tuple[DataFrame, list[float]]:
+                         gamma: float | None = None, degree: int | None = None,
+                         iterations: int = 500, tolerance: float = 1e-6,
+                         out: str = "weight") -> tuple[DataFrame, list[float]]:
     """Weights in [0, 1] that bring the sample's kernel mean to the population's (Huang et al. 2006).
 
-    Minimises w'Kw / 2 - kappa'w with |sum(w) - n| <= n * weight_bound / sqrt(n), by accelerated
-    projected gradient.  The kernel is a dot product of feature vectors, so a step needs one vector
-    sum over the sample.  A row's weight depends on its own vector and on the sums so far only: each
-    job replays the steps from the stored vectors, so no state is kept and no lineage grows.  Also
-    returns the objective after each step.
+    Minimises w'Kw / 2 - kappa'w with |sum(w) - n| <= n * weight_bound / sqrt(n), with the exact kernel at
+    every size, by accelerated projected gradient that starts afresh where the objective rises.  A row
+    carries its weights of two steps; a step is one pass of kernel sums (one vector sum for polynomial
+    kernels of few monomials) and one aggregate, and its table is written, so no step is replayed.  Ends
+    when no weight moves by more than ``tolerance``, and warns if ``iterations`` steps do not reach that.
+    Also returns the objective at the start and after each step.
     """
     require_no_nulls(sample, columns)
     population, _ = report_and_fill_nulls(population.select(*columns), columns)
-    fmap = feature_map(kernel, len(columns), gamma, degree, size)
-    n = sample.count()
-    goal = sum_vectors(population.select(mapped(columns, fmap).alias("v")), "v")
-    goal *= n / population.count()
-    vectors = cut_lineage(sample.select(key, mapped(columns, fmap).alias("phi")))
-    gram = _gram(vectors, len(goal))
-    rate = 1.0 / max(float(np.linalg.eigvalsh(gram).max()), 1e-12)
+    fmap = feature_map(kernel, len(columns), gamma, degree)
+    n, m = sample.count(), population.count()
+    named = cut_lineage(sample.withColumn("_i", F.monotonically_increasing_id()))
+    points = named.select(F.col("_i").alias("i"), _vector(columns).alias("v"))
+    if fmap.short:
+        points = points.withColumn("phi", mapped(["v"], fmap, packed=True))
+    points = cut_lineage(points)
+    if not n:
+        return named.drop("_i").withColumn(out, F.lit(None).cast("double")), []
+
+    def sums(weighted: DataFrame) -> DataFrame:
+        """(i, s): K times the weights of ``weighted (i, weight)``."""
+        rows = points.join(weighted, "i")
+        if not fmap.short:
+            return kernel_sums(points, rows, fmap)
+        total = sum_vectors(rows, "phi", "weight")
+
+        @F.pandas_udf("double")
+        def dot(phi: pd.Series) -> pd.Series:
+            return pd.Series(np.stack(phi.to_numpy()) @ total)
+        return points.select("i", dot("phi").alias("s"))
+
+    everyone = population.select(_vector(columns).alias("v"), F.lit(1.0).alias("weight"))
+    goal = kernel_sums(points, everyone, fmap).select("i", (F.col("s") * F.lit(n / max(m, 1))).alias("kappa"))
+    # no eigenvalue exceeds the largest row sum of absolute kernel values
+    ones = points.select("v", F.lit(1.0).alias("weight"))
+    rate = 1.0 / max(kernel_sums(points, ones, fmap, absolute=True).agg(F.max("s")).first()[0], 1e-12)
     least = n * (1 - weight_bound / math.sqrt(n))
     most = n * (1 + weight_bound / math.sqrt(n))
-    steps: list[tuple[np.ndarray, float, float]] = []          # slope, push, shift
-    total = before = _replayed_sums(vectors, steps, [0.0])[0][:-1]
-    history, moment = [], 1.0
+
+    # kw, kb: K times w and times the weights before w, so a step needs one new product
+    start = points.select("i", F.lit(0.5).alias("weight"))
+    state = cut_lineage(start.withColumnRenamed("weight", "w").join(goal, "i").join(sums(start), "i").select(
+        "i", "kappa", "w", F.col("w").alias("before"), F.col("s").alias("kw"), F.col("s").alias("kb")))
+    objective = F.sum(F.col("w") * (F.col("kw") / 2 - F.col("kappa")))
+    history, moment, moved = [state.agg(objective).first()[0]], 1.0, math.inf
     for _ in range(iterations):
         following = (1 + math.sqrt(1 + 4 * moment * moment)) / 2
-        push, moment = (moment - 1) / following, following
-        slope = (total + push * (total - before) - goal) * rate
-        steps.append((slope, push, 0.0))
-        sums = _replayed_sums(vectors, steps, [0.0])[0]
-        if not least <= sums[-1] <= most:
-            wanted = least if sums[-1] < least else most
-            low, high = (0.0, 64.0) if sums[-1] < least else (-64.0, 0.0)
-            for _ in range(4):                                 # 65 trial shifts per pass
-                trial = np.linspace(low, high, 65)
-                at = [v[-1] for v in _replayed_sums(vectors, steps, list(trial), only_sum=True)]
-                i = max(0, min(63, int(np.searchsorted(at, wanted)) - 1))
-                low, high = float(trial[i]), float(trial[i + 1])
-            steps[-1] = (slope, push, high if wanted == least else low)
-            sums = _replayed_sums(vectors, steps, [steps[-1][2]])[0]
-        before, total = total, sums[:-1]
-        history.append(float(total @ total / 2 - goal @ total))
-
-    @F.pandas_udf("double")
-    def weight(phi: pd.Series) -> pd.Series:
-        raw = _replay(np.stack(phi.to_numpy()), steps)
-        return pd.Series(np.clip(raw + (steps[-1][2] if steps else 0.0), 0.0, 1.0))
-    found = vectors.select(key, weight("phi").alias(out))
-    return sample.join(found, on=key, how="left"), history
-
-
-def _replay(phi: np.ndarray, steps: list[tuple[np.ndarray, float, float]]) -> np.ndarray:
-    """Unclipped weights after the steps; the last shift is left to the caller."""
-    raw = w = before = np.full(len(phi), 0.5)
-    if not steps:
-        return raw
-    moves = phi @ np.stack([s[0] for s in steps], axis=1)
-    for t, (_, push, shift) in enumerate(steps):
-        raw = w + push * (w - before) - moves[:, t]
-        before, w = w, np.clip(raw + shift, 0.0, 1.0)
-    return raw
-
-
-def _replayed_sums(vectors: DataFrame, steps: list[tuple[np.ndarray, float, float]],
-                   shifts: list[float], only_sum: bool = False) -> list[np.ndarray]:
-    """Per trial shift of the last step: sum of w * phi, and last the sum of w."""
-    def run(batches):
-        total = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            phi = np.stack(batch["phi"].to_numpy())
-            raw = _replay(phi, steps)
-            w = np.clip(raw[:, None] + np.array(shifts)[None, :], 0.0, 1.0)
-            part = w.sum(axis=0)[:, None]
-            if not only_sum:
-                part = np.hstack([w.T @ phi, part])
-            total = part if total is None else total + part
-        if total is not None:
-            for i, row in enumerate(total):
-                yield pd.DataFrame({"i": i, "j": np.arange(len(row)), "s": row})
-
-    rows = (vectors.select("phi").mapInPandas(run, "i int, j int, s double")
-            .groupBy("i", "j").agg(F.sum("s").alias("s")).collect())
-    out = [np.zeros(max(r["j"] for r in rows) + 1) for _ in shifts]
-    for r in rows:
-        out[r["i"]][r["j"]] = r["s"]
-    return out
+        push, moment = F.lit((moment - 1) / following), following
+        raw = (F.col("w") + push * (F.col("w") - F.col("before"))
+               - F.lit(rate) * (F.col("kw") + push * (F.col("kw") - F.col("kb")) - F.col("kappa")))
+        tried = state.withColumn("raw", raw)
+        shift = _shift(tried, least, most)
+        new = F.least(F.greatest(F.col("raw") + F.lit(shift), F.lit(0.0)), F.lit(1.0))
+        stepped = cut_lineage(tried.select("i", "kappa", new.alias("w"), F.col("w").alias("before"),
+                                           F.col("kw").alias("kb")))
+        product = sums(stepped.select("i", F.col("w").alias("weight")))
+        state = cut_lineage(stepped.join(product, "i").withColumnRenamed("s", "kw"))
+        value, moved = state.agg(objective, F.max(F.abs(F.col("w") - F.col("before")))).first()
+        if value > history[-1]:
+            moment = 1.0
+        history.append(value)
+        if moved <= tolerance:
+            break
+    if moved > tolerance:
+        warnings.warn(f"kernel mean matching: weights still move by {moved:.2g} after {iterations} steps")
+    found = state.select(F.col("i").alias("_i"), F.col("w").alias(out))
+    return named.join(found, "_i").drop("_i"), history
+
+
+def _shift(tried: DataFrame, least: float, most: float) -> float:
+    """What to add to ``raw`` so that the clipped sum lies within the limits; 0 where it does already."""
+    def clipped(shifts: list[float]) -> list[float]:
+        return list(tried.agg(*[F.sum(F.least(F.greatest(F.col("raw") + F.lit(float(s)), F.lit(0.0)), F.lit(1.0)))
+                                for s in shifts]).first())
+
+    row = tried.agg(F.min("raw"), F.max("raw"),
+                    F.sum(F.least(F.greatest("raw", F.lit(0.0)), F.lit(1.0)))).first()
+    if least <= row[2] <= most:
+        return 0.0
+    # all weights are 1 from 1 - min on, and 0 from -max on
+    wanted, low, high = (least, 0.0, 1.0 - row[0]) if row[2] < least else (most, -row[1], 0.0)
+    for _ in range(8):                                          # each pass narrows by 32: to 1e-12 of the range
+        trial = np.linspace(low, high, 33)
+        i = max(0, min(31, int(np.searchsorted(clipped(list(trial)), wanted)) - 1))
+        low, high = float(trial[i]), float(trial[i + 1])
+    return high if wanted == least else low

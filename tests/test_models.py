@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from counterpoise.operators import evaluate as V, features as X, models as M, weights as W
-from counterpoise.operators.kernels import feature_map, kernel_matrix
+from counterpoise.operators.kernels import feature_map, kernel_matrix, kernel_sums
 
 
 @pytest.fixture(scope="module")
@@ -129,7 +129,7 @@ def test_random_features_for_large_samples(spark):
                                "id int, a double, b double")
     sample = df.filter("id < 20")
     exact = dict(W.kernel_mean_moments(sample, df, "id", ["a", "b"], gamma=1.0).collect())
-    rough = dict(W.kernel_mean_moments(sample, df, "id", ["a", "b"], gamma=1.0, exact_rows=5,
+    rough = dict(W.kernel_mean_moments(sample, df, "id", ["a", "b"], gamma=1.0, method="random",
                                        size=4096).collect())
     want = kernel_matrix(x[:20], x, feature_map("rbf", 2, 1.0)).sum(1) * 20 / 60
     assert np.allclose([exact[i] for i in range(20)], want)
@@ -153,6 +153,51 @@ def box_optimum(k, kappa, least, steps=20000):
     return w
 
 
+def test_kernel_means_are_exact_at_every_size(spark):
+    x = np.random.default_rng(8).normal(size=(5003, 9)).round(3)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)],
+                               "id int, " + ", ".join(f"x{j} double" for j in range(9)))
+    columns = [f"x{j}" for j in range(9)]
+    for few, options in ((4, dict(gamma=1.0)), (9, dict(kernel="poly"))):     # 48620 monomials for 9 columns
+        own = {k: v for k, v in options.items() if k != "kernel"}
+        fmap = feature_map(options.get("kernel", "rbf"), few, **own)
+        want = kernel_matrix(x[:, :few], x[:40, :few], fmap).sum(1) * 5003 / 40
+        got = dict(W.kernel_mean_moments(df, df.filter("id < 40"), "id", columns[:few], **options).collect())
+        assert len(got) == 5003 and np.allclose([got[i] for i in range(5003)], want)
+
+
+def test_kernel_sums_by_blocks(spark):
+    x = np.random.default_rng(9).normal(size=(50, 2))
+    fmap = feature_map("rbf", 2, gamma=1.0)
+    rows = spark.createDataFrame([(i, list(map(float, v)), float(i)) for i, v in enumerate(x)],
+                                 "i long, v array<double>, weight double")
+    got = dict(kernel_sums(rows, rows, fmap, block=7).collect())
+    assert np.allclose([got[i] for i in range(50)], kernel_matrix(x, x, fmap) @ np.arange(50))
+
+
+def test_kernel_mean_matching_with_the_exact_kernel(spark):
+    x = np.random.default_rng(5).normal(size=(120, 3)).round(3)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id int, a double, b double, c double")
+    picked = np.flatnonzero(x[:, 0] > 0.4)
+    out, history = W.kernel_mean_matching(df.filter("a > 0.4"), df, "id", ["a", "b", "c"], tolerance=1e-5)
+    fmap = feature_map("rbf", 3)
+    k = kernel_matrix(x[picked], x[picked], fmap)
+    kappa = kernel_matrix(x[picked], x, fmap).sum(1) * len(picked) / len(x)
+    w = np.array([r["weight"] for r in sorted(out.select("id", "weight").collect())])
+    best = box_optimum(k, kappa, -1e9)
+    reached = w @ k @ w / 2 - kappa @ w
+    assert reached == pytest.approx(best @ k @ best / 2 - kappa @ best, abs=1e-6)
+    assert history[-1] == pytest.approx(reached, abs=1e-9)
+
+
+def test_poisson_copies_of_heavy_rows(spark):
+    from counterpoise.operators.models import poisson_copies
+    for rate in (3.0, 700.0, 800.0, 20000.0):
+        got = [r[0] for r in spark.range(2000).select(poisson_copies(F.lit(rate), "id", 1)).collect()]
+        assert np.mean(got) == pytest.approx(rate, abs=5 * np.sqrt(rate / 2000))
+        assert np.std(got) == pytest.approx(np.sqrt(rate), rel=0.1)
+
+
 @pytest.mark.parametrize("bound", [1000.0, 0.5])
 def test_kernel_mean_matching_reaches_the_optimum(spark, bound):
     x = np.random.default_rng(4).normal(size=(80, 2)).round(3)

@@ -1,5 +1,6 @@
 """Published results, recomputed from published counts and statistics."""
 
+import itertools
 import math
 
 import pytest
@@ -215,3 +216,19 @@ def test_chi2_null_when_an_expected_count_is_zero(spark):
                                                  "fisher_p").first()
     assert r["chi2_stat"] is None and r["chi2_p"] is None and r["fisher_odds_ratio"] is None
     assert r["fisher_p"] == 1.0
+
+
+def test_mann_whitney_is_exact_at_every_size():
+    near = [S.mann_whitney_p(900, 8, n, 0.0) for n in (2500, 2501)]
+    assert near[0] == pytest.approx(near[1], rel=0.02)
+    assert S.mann_whitney_p(2e9, 8, 10 ** 9, 0.0) == pytest.approx(
+        S.mann_whitney_p(2e9, 8, 10 ** 9, 0.0, "asymptotic"), rel=0.2)
+    ways = {}
+    for picks in itertools.combinations(range(11), 4):
+        u = sum(picks) - 6
+        ways[u] = ways.get(u, 0) + 1
+    for u in range(29):
+        tail = sum(v for k, v in ways.items() if k >= max(u, 28 - u)) / sum(ways.values())
+        assert S.mann_whitney_p(u, 4, 7, 0.0) == pytest.approx(min(1.0, 2 * tail), abs=1e-12)
+    with pytest.raises(ValueError):
+        S.mann_whitney_p(1, 2, 3, 0.0, "other")
