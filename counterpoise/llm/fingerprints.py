@@ -191,5 +191,8 @@ def _told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def report(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return next_texts(docs).mapInPandas(_told, f"doc_id {kind}, n_chars long, edited_sha256 string, "
-                                        "fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    # as text, so that null ids in a batch don't turn the others into floats
+    named = next_texts(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+    told = named.mapInPandas(_told, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, "
+                             "edited_fingerprint string, near_edited double, near_next double")
+    return told.withColumn("doc_id", F.col("doc_id").cast(kind))
