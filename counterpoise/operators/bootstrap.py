@@ -9,58 +9,70 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-SMALL = 100_000
+from counterpoise.session import cut_lineage
 
+SMALL = 20_000          # distinct values that one task draws from, about
+_CELLS = 1_000_000      # counts drawn at once
 
-def _replicates_small(df: DataFrame, values: np.ndarray, replicates: int, seed: int) -> DataFrame:
-    """Resampled means; the values are a score table of at most ``SMALL`` rows."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(values)
-
-    def run(batches):
-        for batch in batches:
-            x = shared.value
-            out = [x[np.random.default_rng((seed, int(r))).integers(0, len(x), len(x))].mean()
-                   for r in batch["id"]]
-            yield pd.DataFrame({"mean": out})
-
-    return spark.range(replicates).mapInPandas(run, "mean double")
-
-
-def _replicates_large(df: DataFrame, value: str, replicates: int, seed: int) -> DataFrame:
-    """Means under Poisson(1) row weights: partial sums per task, then one row per replicate."""
-    def run(batches):
-        total, size, rng = np.zeros(replicates), np.zeros(replicates), None
-        for batch in batches:
-            x = batch["v"].to_numpy()
-            if rng is None:
-                rng = np.random.default_rng((seed, int(batch["p"].iloc[0])))
-            for start in range(0, len(x), 1000):
-                part = x[start:start + 1000]
-                counts = rng.poisson(1.0, (replicates, len(part)))
-                total += counts @ part
-                size += counts.sum(axis=1)
-        yield pd.DataFrame({"rep": np.arange(replicates), "s": total, "n": size})
-
-    return (df.select(F.col(value).cast("double").alias("v"), F.spark_partition_id().alias("p"))
-            .mapInPandas(run, "rep int, s double, n double")
-            .groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("mean")))
+
+def _dealt(sizes: np.ndarray, block: int, replicates: int, seed: int) -> np.ndarray:
+    """How many of each replicate's draws fall on rows of ``block``.
+
+    The draws are split in two again and again, each split seeded by its place, so all tasks agree on them.
+    """
+    ends = np.r_[0, np.cumsum(sizes)]
+    low, high, draws = 0, len(sizes), np.full(replicates, ends[-1])
+    while high - low > 1:
+        mid = (low + high) // 2
+        share = (ends[mid] - ends[low]) / (ends[high] - ends[low])
+        left = np.random.default_rng((seed, low, high)).binomial(draws, share)
+        if block < mid:
+            draws, high = left, mid
+        else:
+            draws, low = draws - left, mid
+    return draws
+
+
+def _replicates(known: DataFrame, value: str, replicates: int, seed: int) -> DataFrame:
+    """Means of as many rows drawn with replacement as there are: (rep, mean).
+
+    Rows are counted by value first, so equal values cost one, and a value's number of draws is part of a
+    multinomial; values are dealt to blocks by hash.
+    """
+    counted = cut_lineage(known.groupBy(F.col(value).cast("double").alias("v")).agg(
+        F.count(F.lit(1)).alias("n")))
+    blocks = -(-counted.count() // SMALL)
+    counted = counted.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    sizes = np.zeros(blocks, dtype=np.int64)
+    for row in counted.groupBy("block").agg(F.sum("n").alias("n")).collect():    # one number per block
+        sizes[row["block"]] = row["n"]
+
+    def draw(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, block = frame.sort_values("v"), int(frame["block"].iloc[0])
+        values, counts = frame["v"].to_numpy(), frame["n"].to_numpy()
+        draws = _dealt(sizes, block, replicates, seed)
+        rng, step = np.random.default_rng((seed, block, block)), max(1, _CELLS // len(values))
+        totals = [rng.multinomial(draws[at:at + step], counts / counts.sum()) @ values
+                  for at in range(0, replicates, step)]
+        return pd.DataFrame({"rep": np.arange(replicates), "total": np.concatenate(totals)})
+
+    return (counted.groupBy("block").applyInPandas(draw, "rep int, total double")
+            .groupBy("rep").agg((F.sum("total") / F.lit(float(sizes.sum()))).alias("mean")))
 
 
 def bootstrap_mean_ci(df: DataFrame, value: str, confidence: float = 0.95,
                       replicates: int = 9999, seed: int = 0) -> DataFrame:
-    """Bias-corrected and accelerated interval (mean, low, high)."""
+    """Bias-corrected and accelerated interval (mean, low, high), by one method at every size.
+
+    Null values are left out.  The limits are null where there is no value or all are equal.
+    """
     known = df.filter(F.col(value).isNotNull())
     n, mean, skew = known.agg(F.count(value), F.avg(value), F.skewness(value)).first()
     spark = df.sparkSession
     schema = "mean double, low double, high double"
     if not n or skew is None or skew != skew:
         return spark.createDataFrame([(mean, None, None)], schema)
-    if n <= SMALL:
-        rows = known.select(F.col(value).cast("double")).limit(SMALL).toPandas()
-        means = _replicates_small(df, np.sort(rows.iloc[:, 0].to_numpy()), replicates, seed)
-    else:
-        means = _replicates_large(known, value, replicates, seed)
+    means = cut_lineage(_replicates(known, value, replicates, seed))
     below, tied = means.agg(F.count_if(F.col("mean") < mean),
                             F.count_if(F.col("mean") == mean)).first()
     normal = NormalDist()

@@ -19,7 +19,7 @@ from counterpoise.operators.skew import lookup
 from counterpoise.session import cut_lineage
 
 LEVELS = ("precise", "species", "genera")
-_MAX_SETS = 62
+_SETS_PER_MASK = 62      # presence and absence sets told by the bits of one mask column
 
 
 @dataclass(frozen=True)
@@ -61,9 +61,14 @@ def _flag_level(rule: FlagRule, cat: Catalogue) -> str:
     return level
 
 
-def _value_level(rule: ValueRule, cat: Catalogue) -> str:
+def _value_levels(rule: ValueRule, cat: Catalogue) -> dict[str, str]:
+    """How far each variable of the rule falls back; without a level of the rule each has its own."""
     by_genus = set(cat.genus_level) | {"Habit"}
-    return rule.level or ("genera" if set(rule.variables) <= by_genus else "species")
+    return {v: rule.level or ("genera" if v in by_genus else "species") for v in rule.variables}
+
+
+def _up_to(level: str) -> tuple[str, ...]:
+    return LEVELS[:LEVELS.index(level) + 1]
 
 
 def _genus_column(data: DataFrame, cat: Catalogue) -> Column:
@@ -71,7 +76,9 @@ def _genus_column(data: DataFrame, cat: Catalogue) -> Column:
 
 
 def _level_keys(data: DataFrame, level: str, bit: int, cat: Catalogue) -> DataFrame:
-    """(level, key, mask): the keys by which a dataset reaches rows at each level, from one pass."""
+    """(level, key, part, mask): the keys by which a dataset reaches rows at each level, from one
+    pass; ``part`` is the mask column that holds the set's bit.
+    """
     pairs = [("precise", F.col(cat.name))]
     if level != "precise":
         pairs.append(("species", F.col(cat.name)))
@@ -81,8 +88,9 @@ def _level_keys(data: DataFrame, level: str, bit: int, cat: Catalogue) -> DataFr
         pairs.append(("genera", _genus_column(data, cat)))
     cells = F.array(*[F.struct(F.lit(lev).alias("level"), key.cast("string").alias("key"))
                       for lev, key in pairs])
-    return data.select(F.inline(cells)).dropna(subset=["key"]).withColumn(
-        "mask", F.lit(1 << bit).cast("long"))
+    part, place = divmod(bit, _SETS_PER_MASK)
+    return data.select(F.inline(cells)).dropna(subset=["key"]).withColumns(
+        {"part": F.lit(part), "mask": F.lit(1 << place).cast("long")})
 
 
 def _resolve(data: DataFrame, cat: Catalogue, original_name: str | None,
@@ -134,50 +142,64 @@ def _merge_tables(tables: list[DataFrame], columns: list[str]) -> DataFrame:
 
 
 def _mask_tables(rules: list[tuple[FlagRule, str]], cat: Catalogue) -> dict[str, DataFrame]:
-    """Per level a table (key, mask); bit 2i of the mask is rule i's hits, bit 2i+1 its absences."""
-    if 2 * len(rules) > _MAX_SETS:
-        raise ValueError(f"at most {_MAX_SETS // 2} flag rules per call")
+    """Per level a table (key, mask0, mask1, ...); of all bits in turn, bit 2i is rule i's hits, bit
+    2i+1 its absences.
+    """
     sets, levels = [], set()
     for i, (rule, level) in enumerate(rules):
-        levels |= set(LEVELS[:LEVELS.index(level) + 1])
+        levels |= set(_up_to(level))
         for bit, data in ((2 * i, rule.hits), (2 * i + 1, rule.absences)):
             if data is not None:
                 sets.append(_level_keys(data, level, bit, cat))
+    names = _mask_names(len(rules))
     masks = cut_lineage(reduce(DataFrame.unionByName, sets).groupBy("level", "key").agg(
-        F.bit_or("mask").alias("mask")))
-    return {lev: masks.filter(F.col("level") == lev).select("key", "mask") for lev in levels}
+        *[F.bit_or(F.when(F.col("part") == i, F.col("mask"))).alias(n) for i, n in enumerate(names)]))
+    return {lev: masks.filter(F.col("level") == lev).select("key", *names) for lev in levels}
+
+
+def _mask_names(rules: int) -> list[str]:
+    return [f"mask{i}" for i in range((2 * rules - 1) // _SETS_PER_MASK + 1)]
 
 
-def _value_tables(rule: ValueRule, level: str, index: int, cat: Catalogue,
+def _has_bit(level: str, bit: int) -> Column:
+    part, place = divmod(bit, _SETS_PER_MASK)
+    return F.col(f"{level}_mask{part}").bitwiseAND(F.lit(1 << place).cast("long")) != 0
+
+
+def _value_tables(rule: ValueRule, levels: dict[str, str], index: int, cat: Catalogue,
                   data: DataFrame) -> dict[str, DataFrame]:
-    """Per level a table (key, one column per variable)."""
-    names = {v: f"_x{index}_{v}" for v in rule.variables}
+    """Per level a table (key, one column per variable that falls back so far)."""
     order = F.col(rule.order) if rule.order else F.struct(F.col(cat.name))
 
-    def firsts(key: Column) -> DataFrame:
+    def reaching(level: str) -> dict[str, str]:
+        return {v: f"_x{index}_{v}" for v in rule.variables if level in _up_to(levels[v])}
+
+    def firsts(key: Column, names: dict[str, str]) -> DataFrame:
         # min_by passes over rows whose ordering is null, so each variable gets its own first value
-        return data.select(key.alias("key"), order.alias("_o"), *rule.variables).dropna(
+        return data.select(key.alias("key"), order.alias("_o"), *names).dropna(
             subset=["key"]).groupBy("key").agg(
             *[F.min_by(v, F.when(F.col(v).isNotNull(), F.col("_o"))).alias(n)
               for v, n in names.items()])
 
-    by_name = data.select(F.col(cat.name).alias("key"),
-                          *[F.col(v).alias(n) for v, n in names.items()]).dropna(subset=["key"])
-    tables = {"precise": by_name}
-    if level != "precise":
-        tables["species"] = by_name
+    def by_name(names: dict[str, str]) -> DataFrame:
+        return data.select(F.col(cat.name).alias("key"),
+                           *[F.col(v).alias(n) for v, n in names.items()]).dropna(subset=["key"])
+
+    tables = {"precise": by_name(reaching("precise"))}
+    near, wide = reaching("species"), reaching("genera")
+    if near:
+        tables["species"] = by_name(near)
         if cat.species in data.columns:
-            first = firsts(F.col(cat.species))
-            tables["species"] = by_name.withColumn("_p", F.lit(0)).unionByName(
-                first.withColumn("_p", F.lit(1))).groupBy("key").agg(
+            tables["species"] = by_name(near).withColumn("_p", F.lit(0)).unionByName(
+                firsts(F.col(cat.species), near).withColumn("_p", F.lit(1))).groupBy("key").agg(
                 *[F.min_by(n, F.when(F.col(n).isNotNull(), F.col("_p"))).alias(n)
-                  for n in names.values()])
-    if level == "genera":
+                  for n in near.values()])
+    if wide:
         if cat.genus in data.columns or rule.original_name is None:
             genus = _genus_column(data, cat)
         else:
             genus = F.col(rule.original_name)
-        tables["genera"] = firsts(genus)
+        tables["genera"] = firsts(genus, wide)
     return tables
 
 
@@ -185,7 +207,7 @@ def enrich(df: DataFrame, rules: list[FlagRule | ValueRule],
            cat: Catalogue = DEFAULT_CATALOGUE, check: bool = True) -> DataFrame:
     """Apply all rules; values already present are never overwritten."""
     flags = [(r, _flag_level(r, cat)) for r in rules if isinstance(r, FlagRule)]
-    values = [(r, _value_level(r, cat)) for r in rules if isinstance(r, ValueRule)]
+    values = [(r, _value_levels(r, cat)) for r in rules if isinstance(r, ValueRule)]
     for rule, _ in flags:
         if rule.create and rule.var in df.columns:
             raise ValueError(f"{rule.var} already exists")
@@ -193,13 +215,13 @@ def enrich(df: DataFrame, rules: list[FlagRule | ValueRule],
     columns: dict[str, list[str]] = {}
     for lev, table in _mask_tables(flags, cat).items() if flags else ():
         tables.setdefault(lev, []).append(table)
-        columns.setdefault(lev, []).append("mask")
-    for i, (rule, level) in enumerate(values):
+        columns.setdefault(lev, []).extend(_mask_names(len(flags)))
+    for i, (rule, levels) in enumerate(values):
         require_columns(rule.data, rule.variables)
         data = cut_lineage(_resolve(rule.data, cat, rule.original_name, rule.order))
         if check:
             _check_resolved(data, cat, rule.original_name)
-        for lev, table in _value_tables(rule, level, i, cat, data).items():
+        for lev, table in _value_tables(rule, levels, i, cat, data).items():
             tables.setdefault(lev, []).append(table)
             columns.setdefault(lev, []).extend(c for c in table.columns if c != "key")
 
@@ -220,15 +242,14 @@ def enrich(df: DataFrame, rules: list[FlagRule | ValueRule],
             passes.reverse()
         current = new.get(rule.var, F.col(rule.var) if rule.var in df.columns else None)
         steps = [] if current is None else [current]
-        for lev in LEVELS[:LEVELS.index(level) + 1]:
-            steps += [F.when(F.col(f"{lev}_mask").bitwiseAND(F.lit(1 << bit).cast("long")) != 0, v)
-                      for bit, data, v in passes if data is not None]
+        for lev in _up_to(level):
+            steps += [F.when(_has_bit(lev, bit), v) for bit, data, v in passes if data is not None]
         new[rule.var] = F.coalesce(*steps)
-    for i, (rule, level) in enumerate(values):
+    for i, (rule, levels) in enumerate(values):
         for v in rule.variables:
             # a value that is there, or that an earlier rule found, stays
             present = new.get(v, F.col(v) if v in df.columns else None)
-            found = [F.col(f"{lev}__x{i}_{v}") for lev in LEVELS[:LEVELS.index(level) + 1]]
+            found = [F.col(f"{lev}__x{i}_{v}") for lev in _up_to(levels[v])]
             new[v] = F.coalesce(*([] if present is None else [present]), *found)
     kept = [F.col(c) for c in df.columns if c not in new]
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns],

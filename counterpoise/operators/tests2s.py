@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from counterpoise.functions.special import (chi2_p_udf, fisher_p_udf, ks_p_udf,
                                             mann_whitney_p_udf)
 from counterpoise.operators.prefix import prefix_sums
+from counterpoise.session import cut_lineage
 
 
 def tall_two_samples(first: DataFrame, second: DataFrame, features: list[str]) -> DataFrame:
@@ -150,5 +151,6 @@ def selection_bias_report(df: DataFrame, target: str, continuous: list[str],
                           discrete: list[str]) -> tuple[DataFrame, DataFrame]:
     """Labelled rows against all rows: the comparison, and its Holm-corrected p-values."""
     tall = tall_labelled_vs_all(df, continuous + discrete, target)
-    comparison = compare_distributions(tall, continuous, discrete)
+    # one row per feature, used for the p-values, their number and the report
+    comparison = cut_lineage(compare_distributions(tall, continuous, discrete))
     return comparison, holm(p_values_for_holm(comparison))

@@ -126,6 +126,34 @@ def lookup_values_many(spark, sf):
                            order="row_no", cat=TAXA_CATALOGUE).select(*FLAG_COLUMNS, "vq", "vd")
 
 
+def _mixed_sql() -> str:
+    """A genus-level variable and a species-level one from one dataset, without a level of the rule."""
+    return f"""WITH {_VALUES}, sp AS (SELECT Accepted_Species, arg_min(vq, row_no) FILTER (vq IS NOT NULL) AS vq,
+        arg_min(vd, row_no) FILTER (vd IS NOT NULL) AS vd FROM v_values GROUP BY 1),
+      ge AS (SELECT Genus, arg_min(vd, row_no) AS vd FROM v_values WHERE vd IS NOT NULL GROUP BY 1)
+      SELECT t.Accepted_Name, t.Accepted_ID, coalesce(n.vq, sp.vq) AS vq,
+        coalesce(n.vd, sp.vd, ge.vd) AS Spines
+      FROM v_taxa t LEFT JOIN v_values n ON t.Accepted_Name = n.Accepted_Name
+      LEFT JOIN sp ON t.Accepted_Species = sp.Accepted_Species LEFT JOIN ge ON t.Genus = ge.Genus"""
+
+
+@query("lookup_values_mixed_levels", _mixed_sql())
+def lookup_values_mixed_levels(spark, sf):
+    data = v_values(spark, sf).withColumnRenamed("vd", "Spines")
+    return E.lookup_values(v_taxa(spark, sf), ["vq", "Spines"], data, order="row_no",
+                           cat=TAXA_CATALOGUE).select(*FLAG_COLUMNS, "vq", "Spines")
+
+
+@query("lookup_values_keeps_present", f"""WITH {_VALUES} SELECT t.Accepted_Name, t.Accepted_ID,
+    coalesce(CASE WHEN t.Accepted_ID % 5 = 0 THEN t.totalprice END, n.vd, n.vq) AS v
+  FROM v_taxa t LEFT JOIN v_values n ON t.Accepted_Name = n.Accepted_Name""")
+def lookup_values_keeps_present(spark, sf):
+    taxa = v_taxa(spark, sf).withColumn("v", F.when(F.col("Accepted_ID") % 5 == 0, F.col("totalprice")))
+    rules = [E.ValueRule(["v"], v_values(spark, sf).drop(*{"vq", "vd"} - {v}).withColumnRenamed(v, "v"),
+                         "precise", order="row_no") for v in ("vd", "vq")]
+    return E.enrich(taxa, rules, TAXA_CATALOGUE).select(*FLAG_COLUMNS, "v")
+
+
 _DUPLICATED = """v_dup AS (
   SELECT 'T' || o_orderkey AS Accepted_Name, 'T' || (o_orderkey + k) AS original,
     o_totalprice + k AS v FROM orders, (SELECT unnest([0, 1]) AS k)

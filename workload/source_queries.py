@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from counterpoise.operators.quality import null_report
 from counterpoise.session import scratch_path
 from counterpoise.sources import readers as R, writers as W
 from workload.registry import query
@@ -63,19 +64,15 @@ def write_table(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("variable_catalogue", """SELECT g.variable_group, v.variable FROM (VALUES
-  ('target_encoded', 'genus'), ('target_encoded', 'family'), ('compounds', 'alk'),
-  ('continuous', 'price'), ('continuous', 'soil')) v(variable_group, variable)
-  JOIN (SELECT DISTINCT variable_group FROM (VALUES ('target_encoded'), ('compounds'), ('continuous'))
-        t(variable_group)) g ON g.variable_group = v.variable_group
-  WHERE v.variable IN (SELECT column_name FROM (DESCRIBE (WITH """ + V_PART + """
-    SELECT * FROM v_part)))""")
+@query("variable_catalogue", f"""WITH {V_PART} """ + " UNION ALL ".join(
+    f"""SELECT '{group}' AS variable_group, '{v}' AS variable, count(*) - count({v}) AS n_null FROM v_part"""
+    for group, v in [("target_encoded", "genus"), ("target_encoded", "family"), ("compounds", "alk"),
+                     ("continuous", "price"), ("continuous", "soil")]))
 def variable_catalogue(spark, sf):
     path = scratch_path(spark, "catalogue")
     W.write_catalogue(spark, path, PART_CATALOGUE)
-    present = v_part(spark, sf).columns
-    return spark.read.parquet(path).filter(
-        F.col("variable_group").isin("target_encoded", "compounds", "continuous")
-        & F.col("variable").isin(present)).select("variable_group", "variable")
-
-
+    stored = spark.read.parquet(path).filter(
+        F.col("variable_group").isin("target_encoded", "compounds", "continuous"))
+    traits = v_part(spark, sf)
+    return stored.join(null_report(traits, traits.columns), F.col("variable") == F.col("column")).select(
+        "variable_group", "variable", "n_null")

@@ -111,21 +111,20 @@ TAXA_CATALOGUE = Catalogue(
     encoded=["Genus", "Family"], discarded=[], dropped_after_use=["Spines", "Hairs"])
 
 
-# Presence (R) and absence (A) sets: few lines qualify, so each level of the fallback adds some rows.
+# Presence (R) and absence (A) sets: the taxa of all lines with that flag.
 def _sets(name: str, flag: str) -> str:
     return f"""{name} AS (
   SELECT DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN t.Accepted_Species ELSE t.Accepted_Name END
     AS Accepted_Name, t.Accepted_Species, t.Genus
   FROM lineitem JOIN v_taxa t ON l_orderkey = t.Accepted_ID
-  WHERE l_returnflag = '{flag}' AND l_quantity >= 50 AND l_discount >= 0.1)"""
+  WHERE l_returnflag = '{flag}')"""
 
 
 V_SETS = V_TAXA + ", " + _sets("v_hit", "R") + ", " + _sets("v_abs", "A")
 
 
 def v_set(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter(
-        (F.col("l_returnflag") == flag) & (F.col("l_quantity") >= 50) & (F.col("l_discount") >= 0.1))
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag)
     taxa = v_taxa(spark, sf_dir).select("Accepted_ID", "Accepted_Name", "Accepted_Species", "Genus")
     return (lines.join(taxa, F.col("l_orderkey") == F.col("Accepted_ID"))
             .select(F.when(F.col("l_linenumber") % 3 == 0, F.col("Accepted_Species"))
@@ -133,25 +132,27 @@ def v_set(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
                     "Accepted_Species", "Genus").distinct())
 
 
-# Values of orders with a highly discounted and taxed line: one row per name, in the order of the order
-# key; vd is unknown for some.
+# Values of orders from all their lines: one row per name, in the order of the order key; each is unknown
+# for some names, whole species and whole genera, so that each level of the fallback adds rows.
 V_VALUES = """v_values AS (
   SELECT t.Accepted_Name, t.Accepted_Species, t.Genus, t.Accepted_ID AS row_no,
-    max(l_quantity) AS vq,
-    max(CASE WHEN t.Accepted_ID % 4 <> 0 THEN l_extendedprice END) AS vd
-  FROM lineitem JOIN v_taxa t ON l_orderkey = t.Accepted_ID WHERE l_discount >= 0.1 AND l_tax >= 0.08
+    max(CASE WHEN t.Accepted_ID % 3 <> 0 THEN l_quantity END) AS vq,
+    max(CASE WHEN t.Accepted_ID % 4 <> 0 AND t.Accepted_Species_ID % 3 <> 0 THEN l_extendedprice END) AS vd
+  FROM lineitem JOIN v_taxa t ON l_orderkey = t.Accepted_ID
   GROUP BY t.Accepted_Name, t.Accepted_Species, t.Genus, t.Accepted_ID)"""
 
 
 def v_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (table(spark, sf_dir, "lineitem")
-             .filter((F.col("l_discount") >= 0.1) & (F.col("l_tax") >= 0.08))
              .groupBy("l_orderkey").agg(F.max("l_quantity").alias("vq"),
                                         F.max("l_extendedprice").alias("vd")))
-    taxa = v_taxa(spark, sf_dir).select("Accepted_ID", "Accepted_Name", "Accepted_Species", "Genus")
+    taxa = v_taxa(spark, sf_dir).select("Accepted_ID", "Accepted_Name", "Accepted_Species", "Genus",
+                                        "Accepted_Species_ID")
     return lines.join(taxa, F.col("l_orderkey") == F.col("Accepted_ID")).select(
-        "Accepted_Name", "Accepted_Species", "Genus", F.col("Accepted_ID").alias("row_no"), "vq",
-        F.when(F.col("Accepted_ID") % 4 != 0, F.col("vd")).alias("vd"))
+        "Accepted_Name", "Accepted_Species", "Genus", F.col("Accepted_ID").alias("row_no"),
+        F.when(F.col("Accepted_ID") % 3 != 0, F.col("vq")).alias("vq"),
+        F.when((F.col("Accepted_ID") % 4 != 0) & (F.col("Accepted_Species_ID") % 3 != 0), F.col("vd"))
+        .alias("vd"))
 
 
 # One row per document; the quality label is known for some.
