@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+import operator
 import struct
 from collections.abc import Iterator
 
@@ -23,9 +24,11 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-PIECES_KEPT = 100_000       # remembered encodings per Python worker; more than that are found again
+PIECES_KEPT = 300_000       # remembered encodings per Python worker; more than that are found again
 PIECE_KEPT_CHARS = 64
+PAIRS_KEPT = 500_000        # remembered pairs of neighbours per Python worker
 _CHUNK = 100_000
+_GROUP = operator.methodcaller("group")
 
 
 class Vocabulary:
@@ -38,7 +41,7 @@ class Vocabulary:
         self.fits: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
 
     def halves(self, rank: int) -> tuple[int, int] | None:
@@ -61,9 +64,12 @@ class Vocabulary:
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging leaves ``left`` and ``right`` side by side."""
         pair = (left, right)
-        if pair not in self.fits:
-            self.fits[pair] = self._border_holds(left, right)
-        return self.fits[pair]
+        holds = self.fits.get(pair)
+        if holds is None:
+            if len(self.fits) >= PAIRS_KEPT:
+                self.fits.clear()
+            holds = self.fits[pair] = self._border_holds(left, right)
+        return holds
 
     def _border_holds(self, left: int, right: int) -> bool:
         # Undo the younger merge at the border again and again; at no point may the two tokens that
@@ -87,11 +93,8 @@ class Vocabulary:
         if piece in self.ranks:
             return [self.ranks[piece]]
         starts: list[list[tuple[int, int]]] = [[] for _ in piece]
-        for end, (rank, length) in self.automaton.iter(piece.decode("latin-1")):
-            if length == 1 or self.halves(rank) is not None:
-                starts[end - length + 1].append((length, rank))
-        for found in starts:
-            found.sort()
+        for end, token in self.automaton.iter(piece.decode("latin-1")):
+            starts[end - token[0] + 1].append(token)        # ends rise, so the longest comes last
         failed = bytearray(len(piece) + 1)
         path: list[tuple[int, int]] = []
         at = 0
@@ -101,7 +104,9 @@ class Vocabulary:
             while choice:
                 choice -= 1
                 length, rank = starts[at][choice]
-                if not failed[at + length] and (not path or self.compatible(path[-1][1], rank)):
+                if failed[at + length] or length > 1 and self.halves(rank) is None:
+                    continue
+                if not path or self.compatible(path[-1][1], rank):
                     left_to_try[-1] = choice
                     path.append((length, rank))
                     at += length
@@ -117,17 +122,25 @@ class Vocabulary:
 
 
 class _Pieces(dict):
-    """Packed ids of pieces of text, remembered up to a fixed number."""
+    """Packed ids of pieces of text, remembered up to a fixed number.
+
+    When half of it is full, what was not asked for since the last such time is forgotten, so frequent
+    pieces stay.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.vocabulary.encode(piece.encode("utf-8"))
-        packed = struct.pack(f"={len(ids)}i", *ids)
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = self.vocabulary.encode(piece.encode("utf-8"))
+            packed = struct.pack(f"={len(ids)}i", *ids)
         if len(piece) <= PIECE_KEPT_CHARS:
-            if len(self) >= PIECES_KEPT:
+            if len(self) >= PIECES_KEPT // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -140,9 +153,15 @@ def load(path: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
 
 
+@functools.lru_cache(maxsize=2)
+def _remembered(path: str) -> _Pieces:
+    """Pieces that a Python worker remembers from task to task."""
+    return _Pieces(load(path))
+
+
 def encode_text(text: str | None, pieces: dict, pattern: regex.Pattern) -> np.ndarray:
     out = bytearray()
-    found = (match.group() for match in pattern.finditer(text or ""))
+    found = map(_GROUP, pattern.finditer(text or ""))
     while part := list(itertools.islice(found, _CHUNK)):
         out += b"".join(map(pieces.__getitem__, part))
     return np.frombuffer(bytes(out), dtype=np.int32)
@@ -154,7 +173,7 @@ def encode(text: Column | str, path: str, pattern: str) -> Column:
 
     @pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces, compiled = _Pieces(load(path)), regex.compile(pattern)
+        pieces, compiled = _remembered(path), regex.compile(pattern)
         for batch in batches:
             yield pd.Series([encode_text(text, pieces, compiled) for text in batch], dtype=object)
 
@@ -184,8 +203,8 @@ def coded(docs: DataFrame, columns: list[str], path: str, pattern: str) -> DataF
                        + ["ids array<int>", "decoded binary"])
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, compiled = load(path), regex.compile(pattern)
-        pieces, bytes_of = _Pieces(vocabulary), vocabulary.bytes_of
+        pieces, compiled = _remembered(path), regex.compile(pattern)
+        bytes_of = load(path).bytes_of
         for frame in frames:
             for low in range(0, len(frame), 100):
                 part = frame.iloc[low:low + 100]
