@@ -262,3 +262,14 @@ def test_quality_checks(spark):
     assert Q.domain_violations(df, "Genus", ["g", "h"]).collect()[0]["n"] == 1
     assert Q.bounds_report(df, {"v": (0, 2)}).first()["ok"] == 1
     assert Q.duplicate_keys(df, ["Genus"]).count() == 2
+
+
+def test_more_flag_rules_than_one_mask_holds(spark):
+    df = spark.createDataFrame([("a b",), ("c d",), (None,)], f"{CAT.name} string")
+    df = df.withColumns({CAT.species: F.col(CAT.name), CAT.genus: F.lit("g")})
+    sets = [spark.createDataFrame([(n,)], f"{CAT.name} string") for n in ("a b", "c d")]
+    rules = [E.FlagRule(f"f{i}", sets[i % 2], sets[1 - i % 2], level="precise", create=True) for i in range(40)]
+    got = {r[CAT.name]: [r[f"f{i}"] for i in range(40)] for r in E.enrich(df, rules, CAT).collect()}
+    assert got["a b"] == [1.0, 0.0] * 20
+    assert got["c d"] == [0.0, 1.0] * 20
+    assert got[None] == [None] * 40
