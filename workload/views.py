@@ -133,7 +133,7 @@ def v_set(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
 
 
 # Values of orders from all their lines: one row per name, in the order of the order key; each is unknown
-# for some names, whole species and whole genera, so that each level of the fallback adds rows.
+# for some names, vd for whole species, so that each level of the fallback adds rows.
 V_VALUES = """v_values AS (
   SELECT t.Accepted_Name, t.Accepted_Species, t.Genus, t.Accepted_ID AS row_no,
     max(CASE WHEN t.Accepted_ID % 3 <> 0 THEN l_quantity END) AS vq,
