@@ -8,6 +8,8 @@ short notice that it contains.  All of it is column functions.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Identifier of a sentence, and the sentence as licences and notices write it.
@@ -89,7 +91,7 @@ RULES = (
 )
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_END = r"([.!?:;])[ \t\r\n]+"
+_ENDS = r"[.!?:;][ \t\r\n]+"
 _JOIN = r"([^\n])\n([^\n])"
 
 
@@ -103,17 +105,25 @@ def known_sentences(sentences=SENTENCES) -> dict[str, str]:
     return {plain(text): name for name, text in sentences}
 
 
-def _sentences(text: Column) -> Column:
-    lower = F.translate(text, _UPPER, _UPPER.lower())
-    marked = F.regexp_replace(lower, _END, "$1\n")
-    clean = F.regexp_replace(marked, r"[^a-z0-9\n]+", " ")
-    return F.transform(F.split(clean, "\n"), lambda s: F.trim(s))
+def _pattern(sentences) -> str:
+    """Known sentences, longest first, between marks; an entry that holds a sentence end itself may be cut there."""
+    cut = {tuple(plain(part) for part in re.split(_ENDS, text)) for _, text in sentences}
+    cut = sorted((tuple(filter(None, parts)) for parts in cut), key=lambda parts: (-len(" ".join(parts)), parts))
+    return "(?<=H)(?:" + "|".join("[ H]{1,2}".join(parts) for parts in cut) + ")(?= ?H)"
 
 
-def _identifiers(text: Column, known: dict[str, str]) -> Column:
-    hits = F.filter(_sentences(text), lambda s: s.isin(list(known)))
+def _identifiers(text: Column, sentences) -> Column:
+    """Identifiers of the known sentences in their order.  A lowered text has no capital letter, so H is the mark of
+    a sentence's end; blanks that follow a mark go with it."""
+    known = known_sentences(sentences)
+    if not known:
+        return F.array().cast("array<string>")
+    lower = F.translate(text, _UPPER, _UPPER.lower())
+    marked = F.concat(F.lit("H"), F.regexp_replace(lower, _ENDS + r"|\n", "H"), F.lit("H"))
+    clean = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9H]+", " "), "H ", "H")
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.transform(hits, lambda s: F.element_at(names, s))
+    hits = F.regexp_extract_all(clean, F.lit(_pattern(sentences)), F.lit(0))
+    return F.transform(hits, lambda s: F.element_at(names, F.regexp_replace(s, "[ H]+", " ")))
 
 
 def scan(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
@@ -123,10 +133,9 @@ def scan(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
     line ends) tells more known sentences, that reading counts.  Null and empty texts have no sentences and
     no licences; repeated rows give repeated rows; other columns pass through.
     """
-    known = known_sentences(sentences)
     text = F.coalesce(F.col("text"), F.lit(""))
     wrapped = F.regexp_replace(F.regexp_replace(text, _JOIN, "$1 $2"), _JOIN, "$1 $2")
-    out = docs.withColumn("_lines", _identifiers(text, known)).withColumn("_joined", _identifiers(wrapped, known))
+    out = docs.withColumn("_lines", _identifiers(text, sentences)).withColumn("_joined", _identifiers(wrapped, sentences))
     out = out.withColumn("sentence_ids", F.when(F.size("_joined") > F.size("_lines"), F.col("_joined"))
                          .otherwise(F.col("_lines"))).drop("_lines", "_joined")
     rest = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))

@@ -188,6 +188,19 @@ def test_licenses(spark):
     assert licenses.scan(full).first()["licenses"] in (["MIT"], [])
 
 
+def test_licenses_every_entry_and_rule_fires(spark):
+    by_name = {name: text for name, text in reversed(licenses.SENTENCES)}
+    entries = [f"Some code\n// {text}\nmore code" for _, text in licenses.SENTENCES]
+    found = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan(docs_of(spark, entries)).collect()}
+    assert [found[i] for i in range(len(entries))] == [[name] for name, _ in licenses.SENTENCES]
+    own = [". ".join(by_name[name] for name in sequence) + "." for _, sequence in licenses.RULES]
+    told = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs_of(spark, own)).collect()}
+    assert [told[i] for i in range(len(own))] == [[name] for name, _ in licenses.RULES]
+    full = docs_of(spark, [by_name["mit.grant"] + ": x. " + by_name["mit.keep"] + ".",
+                           "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: MPL-2.0"])
+    assert [r["licenses"] for r in licenses.scan(full).orderBy("doc_id").collect()] == [["MIT"], ["MIT", "MPL-2.0"]]
+
+
 def test_classifiers_learn_and_score_everything(spark):
     draw = random.Random(6)
     word = lambda: "".join(draw.choice("aeionrst") for _ in range(6))
