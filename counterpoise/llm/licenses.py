@@ -92,7 +92,6 @@ RULES = (
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ENDS = r"[.!?:;][ \t\r\n]+"
-_JOIN = r"([^\n])\n([^\n])"
 
 
 def plain(sentence: str) -> str:
@@ -106,38 +105,38 @@ def known_sentences(sentences=SENTENCES) -> dict[str, str]:
 
 
 def _pattern(sentences) -> str:
-    """Known sentences, longest first, between marks; an entry that holds a sentence end itself may be cut there."""
+    """Known sentences, longest first, between marks (H a sentence's or paragraph's end, a line feed the end of a
+    line in a paragraph).  Words may stand on different lines; an entry that holds a sentence end may be cut there."""
     cut = {tuple(plain(part) for part in re.split(_ENDS, text)) for _, text in sentences}
     cut = sorted((tuple(filter(None, parts)) for parts in cut), key=lambda parts: (-len(" ".join(parts)), parts))
-    return "(?<=H)(?:" + "|".join("[ H]{1,2}".join(parts) for parts in cut) + ")(?= ?H)"
+    texts = ["[ \nH]{1,3}".join(part.replace(" ", "[ \n]{1,2}") for part in parts) for parts in cut]
+    return "(?<=[\nH])(?:" + "|".join(texts) + ")(?= ?[\nH])"
 
 
 def _identifiers(text: Column, sentences) -> Column:
-    """Identifiers of the known sentences in their order.  A lowered text has no capital letter, so H is the mark of
-    a sentence's end; blanks that follow a mark go with it."""
+    """Identifiers of the known sentences in their order.  A lowered text has no capital letter, so H is free as a
+    mark; what else is no letter or digit goes with the mark before it, or is a blank."""
     known = known_sentences(sentences)
     if not known:
         return F.array().cast("array<string>")
     lower = F.translate(text, _UPPER, _UPPER.lower())
-    marked = F.concat(F.lit("H"), F.regexp_replace(lower, _ENDS + r"|\n", "H"), F.lit("H"))
-    clean = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9H]+", " "), "H ", "H")
+    marked = F.concat(F.lit("H"), F.regexp_replace(lower, _ENDS + r"|\n\n+", "H"), F.lit("H"))
+    clean = F.regexp_replace(F.regexp_replace(marked, r"[^a-z0-9\nH]+", " "), r"(?:H[ \n]*)+", "H")
+    clean = F.regexp_replace(clean, r"\n[ \n]+", "\n")
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     hits = F.regexp_extract_all(clean, F.lit(_pattern(sentences)), F.lit(0))
-    return F.transform(hits, lambda s: F.element_at(names, F.regexp_replace(s, "[ H]+", " ")))
+    return F.transform(hits, lambda s: F.element_at(names, F.regexp_replace(s, r"[ \nH]+", " ")))
 
 
 def scan(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
     """Adds ``sentence_ids`` (known sentences in their order) and ``licenses`` (by rule order, each once).
 
-    Sentences end at punctuation before white space and at line ends.  Where joining wrapped lines (single
-    line ends) tells more known sentences, that reading counts.  Null and empty texts have no sentences and
+    A known sentence counts where it stands between two ends: punctuation before white space, line ends and
+    blank lines.  It may go over line ends (wrapped lines), not over blank lines, so one-line notices and
+    wrapped texts are told in one reading, in their order.  Null and empty texts have no sentences and
     no licences; repeated rows give repeated rows; other columns pass through.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    wrapped = F.regexp_replace(F.regexp_replace(text, _JOIN, "$1 $2"), _JOIN, "$1 $2")
-    out = docs.withColumn("_lines", _identifiers(text, sentences)).withColumn("_joined", _identifiers(wrapped, sentences))
-    out = out.withColumn("sentence_ids", F.when(F.size("_joined") > F.size("_lines"), F.col("_joined"))
-                         .otherwise(F.col("_lines"))).drop("_lines", "_joined")
+    out = docs.withColumn("sentence_ids", _identifiers(F.coalesce(F.col("text"), F.lit("")), sentences))
     rest = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))
     found = []
     out = out.withColumn("_rest", rest)

@@ -201,6 +201,21 @@ def test_licenses_every_entry_and_rule_fires(spark):
     assert [r["licenses"] for r in licenses.scan(full).orderBy("doc_id").collect()] == [["MIT"], ["MIT", "MPL-2.0"]]
 
 
+def test_licenses_of_lines_and_wrapped_text_together(spark):
+    apache = ("Licensed under the Apache License,\nVersion 2.0 (the \"License\"); you may not\nuse this file except in "
+              "compliance\n with the License.")
+    texts = ["Notes on the parts\nReleased under the MIT License.\nmore notes\n\n" + apache,
+             "Notes on the parts\nReleased under the MIT License\nmore notes\n" + apache,
+             apache.replace("\n", "\r\n") + "\r\nSPDX-License-Identifier: MIT\r\n",
+             "/*\n * " + apache.replace("\n", "\n * ") + "\n *\n * Licensed under CC BY 4.0\n */",
+             "Released under\n\nthe MIT License", "x Released under the MIT License"]
+    seen = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, texts)).collect()}
+    ids = ["apache2.notice", "apache2.may"]
+    assert [seen[i]["sentence_ids"] for i in range(6)] == [
+        ["mit.notice", *ids], ["mit.notice", *ids], [*ids, "mit.notice"], [*ids, "ccby4.notice"], ["mit.title"], []]
+    assert [sorted(seen[i]["licenses"]) for i in range(3)] == [["Apache-2.0", "MIT"]] * 3
+
+
 def test_classifiers_learn_and_score_everything(spark):
     draw = random.Random(6)
     word = lambda: "".join(draw.choice("aeionrst") for _ in range(6))
