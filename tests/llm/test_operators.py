@@ -148,6 +148,23 @@ def test_lines_keep_one_of_each_group(spark):
     assert lines.report(docs.limit(0)).count() == 0
 
 
+def test_lines_with_one_edit_are_found(spark):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvw") for _ in range(draw.randrange(3, 9)))
+    pairs = []
+    for count in [*range(8, 41)] * 8:
+        line = [word() for _ in range(count)]
+        other = list(line)
+        at = draw.randrange(count)
+        other[at] = word() if len(pairs) % 2 else other[at][:-1] + "z"
+        pairs.append((" ".join(line), " ".join(other)))
+    pairs += [(f"{a} {b}", f"{a}z {b}") for a, b in ((word() * 2, word() * 2) for _ in range(40))]
+    pairs = [p for p in pairs if lines.similar(*p)]
+    rows = {r["doc_id"]: r for r in lines.report(docs_of(spark, [x for p in pairs for x in p])).collect()}
+    assert sum(rows[2 * i]["n_removed"] for i in range(len(pairs))) == 0
+    assert sum(rows[2 * i + 1]["n_removed"] for i in range(len(pairs))) >= 0.98 * len(pairs)
+
+
 def test_edit_distance_is_the_tables():
     def plain(a, b):
         row = list(range(len(b) + 1))
