@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
-DIGEST = 6                      # bytes of a node's digest in a fingerprint
+ROOT = 16                       # bytes of a digest, and of the root in a fingerprint
+DIGEST = 6                      # bytes that a fingerprint shows of the other nodes' digests
 _FRAME = 64                     # documents whose fingerprints a task holds at a time
 SECTION_PARAGRAPHS = 8          # paragraphs in a section, on average
 #: Leaves: sentences, and within longer ones stretches of 60 characters.
@@ -26,17 +27,18 @@ _SENTENCE = re.compile(r"[^.!?]{0,60}[.!?]+\s*|[^.!?]{1,60}")
 
 
 def _digest(kind: bytes, data: bytes) -> str:
-    return hashlib.blake2b(kind + data, digest_size=DIGEST).hexdigest()
+    return hashlib.blake2b(kind + data, digest_size=ROOT).hexdigest()
 
 
 def fingerprint(text: str | None) -> str:
     """``root=sections``: sections joined by ``/``, each ``digest:paragraph,paragraph``, each paragraph
     ``digest(leaf.length-leaf.length)``.  Null and empty texts have the same fingerprint, a bare root."""
     sections, paragraphs, inside = [], [], []
+    shown = 2 * DIGEST
     for line in (text or "").splitlines(keepends=True) if text else []:
         leaves = [(_digest(b"s", s.encode("utf-8", "surrogatepass")), len(s)) for s in _SENTENCE.findall(line)]
         node = _digest(b"p", "".join(d for d, _ in leaves).encode())
-        paragraphs.append(f"{node}(" + "-".join(f"{d}.{n}" for d, n in leaves) + ")")
+        paragraphs.append(f"{node[:shown]}(" + "-".join(f"{d[:shown]}.{n}" for d, n in leaves) + ")")
         inside.append(node)
         if int(node, 16) % SECTION_PARAGRAPHS == 0:
             sections.append((_digest(b"c", "".join(inside).encode()), paragraphs))
@@ -44,7 +46,7 @@ def fingerprint(text: str | None) -> str:
     if inside:
         sections.append((_digest(b"c", "".join(inside).encode()), paragraphs))
     root = _digest(b"r", "".join(d for d, _ in sections).encode())
-    return root + "=" + "/".join(f"{d}:" + ",".join(p) for d, p in sections)
+    return root + "=" + "/".join(f"{d[:shown]}:" + ",".join(p) for d, p in sections)
 
 
 def _branches(text: str, mark: str) -> Counter:

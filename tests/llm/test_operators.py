@@ -196,6 +196,13 @@ def test_fingerprints(spark):
     assert fingerprints.report(docs_of(spark, ["only"])).count() == 1
 
 
+def test_roots_differ_where_short_digests_meet(monkeypatch):
+    monkeypatch.setattr(fingerprints, "DIGEST", 1)
+    texts = [f"Text {i}.\nEnd." for i in range(1000)]
+    roots = {fingerprints.fingerprint(text).partition("=")[0] for text in texts}
+    assert len(roots) == len(texts) and {len(root) for root in roots} == {32}
+
+
 def test_licenses(spark):
     texts = ["Code.\nReleased under the MIT License.\nBye.", "No mitigating license here", None, "",
              "Licensed under the Apache License,\nVersion 2.0. Then (c) Licensed under CC BY-NC 4.0."]
