@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from counterpoise.llm import (bpe, fingerprints, licenses, lines, mixing, neardup_vectors, pseudo_likelihood,
-                              quality, shingles, toxicity)
+                              quality, shingles, toxicity, url_filters)
 from counterpoise.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def quality_scores(spark, sf_dir):
 @query("op4_pseudo_likelihood")
 def language_model_scores(spark, sf_dir):
     return pseudo_likelihood.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_url_filters", url_filters.REPORT_SQL)
+def url_verdicts(spark, sf_dir):
+    return url_filters.report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
