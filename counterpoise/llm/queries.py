@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from counterpoise.llm import (bpe, fingerprints, licenses, lines, mixing, neardup_vectors, pseudo_likelihood,
-                              quality, shingles, toxicity, url_filters)
+                              quality, shingles, spelling, toxicity, url_filters)
 from counterpoise.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def language_model_scores(spark, sf_dir):
 @query("op12_url_filters", url_filters.REPORT_SQL)
 def url_verdicts(spark, sf_dir):
     return url_filters.report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_spelling", spelling.REPORT_SQL)
+def spelling_variants(spark, sf_dir):
+    return spelling.report(table(spark, sf_dir, "documents"))

@@ -53,7 +53,7 @@ def test_names(spark):
 
 
 def chance_over(a, b, limit):
-    t = 1 / (1 + np.exp(-np.linspace(-400, 400, 4_000_001)))
+    t = 1 / (1 + np.exp(-np.arange(-2_000_000, 2_000_001) * 2e-4))
     with np.errstate(divide="ignore", invalid="ignore"):
         g = np.exp(a * np.log(t) + b * np.log1p(-t) - a * math.log(a / (a + b)) - b * math.log(b / (a + b)))
     g = np.nan_to_num(g)
