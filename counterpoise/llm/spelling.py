@@ -19,6 +19,7 @@ RUN = r"[A-Za-zÀ-ÿ]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTERS = _LOWER + "".join(map(chr, range(0xC0, 0x100)))
 SYMBOLS = 8             # a letter's symbol is its code point modulo this; common letters spread evenly
+LONG = 40               # longer words have no neighbourhoods: those grow with the square of the length
 SHORTEST = 6
 LEAST = 5
 SLIP = 199
@@ -66,19 +67,31 @@ def neighbourhood(word: str, symbols: int = SYMBOLS) -> Column:
     return F.array_distinct(F.concat(F.array(F.col(word)), deleted, replaced, inserted))
 
 
-def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
+def near_words(words: DataFrame, symbols: int = SYMBOLS, long: int = LONG) -> DataFrame:
     """Rows ``(word, n, other, other_n)`` of all words of ``words (word, n)`` that differ by one inserted, deleted or
     replaced code point, each pair from both sides.  Words are distinct, not null and not empty.
 
-    Pairs stream out of the last join; what reads them should aggregate."""
+    Two words of more than ``long`` letters, one edit apart, have their first or their last ``long // 2`` letters in
+    common and are found by those.  Pairs stream out of the last joins; what reads them should aggregate."""
     known = cut_lineage(words.select("word", "n", reduced("word", symbols).alias("form")))
-    forms = known.select("form").distinct()
+    size = lambda word: F.length(word)                                      # noqa: E731
+    short = known.where(size("word") <= long + 1)
+    forms = short.select("form").distinct()
     meets = (forms.withColumn("reach", F.explode(neighbourhood("form", symbols)))
              .join(forms.select(F.col("form").alias("reach")), "reach"))
-    here = meets.join(known, "form").select("word", "n", "reach")
-    there = known.select(F.col("form").alias("reach"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    return (here.join(there, ["reach"]).where(F.levenshtein("word", "other", 1) == 1)
-            .select("word", "n", "other", "other_n"))
+    here = meets.join(short, "form").select("word", "n", "reach")
+    there = short.select(F.col("form").alias("reach"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    by_form = here.join(there, "reach").where(F.least(size("word"), size("other")) <= long)
+
+    half = long // 2
+    ends = known.where(size("word") > long).select("word", "n", F.explode(F.array(
+        F.concat(F.lit("<"), F.substring("word", 1, half)), F.concat(F.lit(">"), F.substring("word", -half, half))
+    )).alias("reach"))
+    others = ends.select("reach", F.col("word").alias("other"), F.col("n").alias("other_n"))
+    first = F.col("reach").startswith("<") | (F.substring("word", 1, half) != F.substring("other", 1, half))
+    by_end = ends.join(others, "reach").where(first)
+    columns = ["word", "n", "other", "other_n"]
+    return by_form.select(columns).union(by_end.select(columns)).where(F.levenshtein("word", "other", 1) == 1)
 
 
 def with_roots(forms: DataFrame) -> DataFrame:
