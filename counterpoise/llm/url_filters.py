@@ -111,7 +111,7 @@ def over_limit(groups: DataFrame, limit: float = LIMIT) -> DataFrame:
     """``groups (a, b, ...)`` with ``over``: the chance that a rate of law Beta(a, b) is over ``limit``.
 
     On the scale of log-odds the density falls off smoothly on both sides, so Simpson's rule within 12 deviations
-    of the middle, cut at the limit, is exact to about six places."""
+    of the middle, cut at the limit, is exact to six places, or to four where a or b is below 1."""
     edge = math.log(limit / (1 - limit))
     return (groups.withColumn("middle", F.expr("ln(a/b)"))
             .withColumn("reach", F.expr("12*sqrt(1/a + 1/(a*a) + 1/b + 1/(b*b))"))
