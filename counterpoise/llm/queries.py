@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from counterpoise.llm import (bpe, fingerprints, licenses, lines, mixing, neardup_vectors, pseudo_likelihood,
+from counterpoise.llm import (alignment, bpe, fingerprints, licenses, lines, mixing, neardup_vectors, pseudo_likelihood,
                               quality, shingles, spelling, toxicity, url_filters)
 from counterpoise.llm.shared import table
 
@@ -83,3 +83,9 @@ def url_verdicts(spark, sf_dir):
 @query("op13_spelling", spelling.REPORT_SQL)
 def spelling_variants(spark, sf_dir):
     return spelling.report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_alignment")
+def tokenizer_alignment(spark, sf_dir):
+    return alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
