@@ -207,10 +207,12 @@ def containers(links: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[pa.Array
     new = np.ones(len(links), dtype=bool)
     new[1:] = links[1:] != links[:-1]
     first = np.flatnonzero(new)
-    keys, more = links[first], np.diff(np.append(first, len(links))) - 1
+    unique, more = links[first], np.diff(np.append(first, len(links))) - 1
     pairs, planes, bitmaps = [], [], []
-    plane = 0
-    while len(keys):
+    for plane in range(1 + int(more.max(initial=0)).bit_length()):
+        keys = unique[(more >> (plane - 1)) & 1 > 0] if plane else unique
+        if not len(keys):
+            continue
         pair, doc = keys // BLOCK_DOCS, (keys % BLOCK_DOCS).astype("<u2")
         head = np.ones(len(pair), dtype=bool)
         head[1:] = pair[1:] != pair[:-1]
@@ -228,12 +230,6 @@ def containers(links: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[pa.Array
         else:
             bitmaps.append(pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [
                 None, pa.py_buffer((2 * cuts).astype(np.int32)), pa.py_buffer(doc)]))
-        if plane == 0:
-            base_keys, base_more = keys, more
-        plane += 1
-        keys = base_keys[(base_more >> (plane - 1)) & 1 > 0]
-        if not (base_more >> (plane - 1)).any():
-            break
     if not pairs:
         return np.empty(0, np.int64), np.empty(0, np.int32), [pa.array([], pa.binary())]
     return np.concatenate(pairs), np.concatenate(planes), bitmaps
