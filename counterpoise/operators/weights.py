@@ -18,12 +18,13 @@ from counterpoise.operators.evaluate import brier, score_folds
 from counterpoise.operators.features import Preparation, prepare
 from counterpoise.operators.folds import stratified_folds
 from counterpoise.operators.hierarchy import duplicated_rows
-from counterpoise.operators.kernels import feature_map, kernel_sums, mapped, sum_vectors
+from counterpoise.operators.kernels import feature_map, kernel_matrix, kernel_sums, mapped, sum_vectors
 from counterpoise.operators.skew import lookup
 from counterpoise.operators.summary import describe, histogram, mean_propensity_by_class
 from counterpoise.session import cut_lineage, scratch_path
 
 PROPENSITY = "P(s|x)"
+BLOCK = 2048            # rows whose kernel with each other one task holds
 
 
 def saturated_propensity(df: DataFrame, target: str, cells: list[str], propensity: str = "ps",
@@ -181,11 +182,13 @@ def kernel_mean_matching(sample: DataFrame, population: DataFrame, key: str, col
     """Weights in [0, 1] that bring the sample's kernel mean to the population's (Huang et al. 2006).
 
     Minimises w'Kw / 2 - kappa'w with |sum(w) - n| <= n * weight_bound / sqrt(n), with the exact kernel at
-    every size, by accelerated projected gradient that starts afresh where the objective rises.  A row
-    carries its weights of two steps; a step is one pass of kernel sums (one vector sum for polynomial
+    every size.  First every block of about ``BLOCK`` rows finds its best weights with the other blocks' held, and
+    all move together as far as the objective falls: with one block, that is the end unless the sum's limits
+    matter.  Then steps of accelerated projected gradient that start afresh where the objective rises.  A row
+    carries its weights of two steps; a step is one set of kernel tiles (one vector sum for polynomial
     kernels of few monomials) and one aggregate, and its table is written, so no step is replayed.  Ends
     when no weight moves by more than ``tolerance``, and warns if ``iterations`` steps do not reach that.
-    Also returns the objective at the start and after each step.
+    Also returns the objective at the start, after the blocks' move, and after each step.
     """
     require_no_nulls(sample, columns)
     population, _ = report_and_fill_nulls(population.select(*columns), columns)
@@ -225,6 +228,16 @@ def kernel_mean_matching(sample: DataFrame, population: DataFrame, key: str, col
         "i", "kappa", "w", F.col("w").alias("before"), F.col("s").alias("kw"), F.col("s").alias("kb")))
     objective = F.sum(F.col("w") * (F.col("kw") / 2 - F.col("kappa")))
     history, moment, moved = [state.agg(objective).first()[0]], 1.0, math.inf
+
+    ahead = cut_lineage(_block_moves(state.join(points.select("i", "v"), "i"), n, fmap, tolerance / 100))
+    moves = cut_lineage(state.join(ahead, "i").join(
+        sums(ahead.select("i", F.col("d").alias("weight"))).withColumnRenamed("s", "kd"), "i"))
+    slope, bend = moves.agg(F.sum(F.col("d") * (F.col("kw") - F.col("kappa"))), F.sum(F.col("d") * F.col("kd"))).first()
+    reach = F.lit(min(1.0, max(0.0, -slope / bend)) if bend > 0 else float(slope < 0))
+    state = cut_lineage(moves.select(
+        "i", "kappa", *[(F.col("w") + reach * F.col("d")).alias(c) for c in ("w", "before")],
+        *[(F.col("kw") + reach * F.col("kd")).alias(c) for c in ("kw", "kb")]))
+    history.append(state.agg(objective).first()[0])
     for _ in range(iterations):
         following = (1 + math.sqrt(1 + 4 * moment * moment)) / 2
         push, moment = F.lit((moment - 1) / following), following
@@ -249,6 +262,31 @@ def kernel_mean_matching(sample: DataFrame, population: DataFrame, key: str, col
     return named.join(found, "_i").drop("_i"), history
 
 
+def _block_moves(rows: DataFrame, n: int, fmap, tolerance: float) -> DataFrame:
+    """``(i, d)``: what the best weights of each row's block add to ``w`` if other blocks stay as they are.
+
+    Rows ``(i, v, w, kw, kappa)`` are dealt to blocks of about ``BLOCK`` by a hash of ``i``; a task holds the
+    kernel of one block."""
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(frame["v"].to_numpy()).astype(float)
+        w, slope = frame["w"].to_numpy(dtype=float), (frame["kw"] - frame["kappa"]).to_numpy(dtype=float)
+        kernel = kernel_matrix(v, v, fmap)
+        rate = 1.0 / max(np.linalg.eigvalsh(kernel)[-1], 1e-12)
+        d, last, moment = np.zeros(len(w)), np.zeros(len(w)), 1.0
+        for _ in range(20_000):
+            following = (1 + math.sqrt(1 + 4 * moment * moment)) / 2
+            ahead = d + (moment - 1) / following * (d - last)
+            new = np.clip(ahead - rate * (slope + kernel @ ahead), -w, 1 - w)
+            moment = 1.0 if (ahead - new) @ (new - d) > 0 else following       # uphill: start afresh
+            d, last = new, d
+            if np.abs(d - last).max() <= tolerance:
+                break
+        return pd.DataFrame({"i": frame["i"], "d": d})
+    blocks = max(1, math.ceil(n / BLOCK))
+    dealt = rows.select("i", "v", "w", "kw", "kappa", F.pmod(F.xxhash64(F.lit(3), "i"), F.lit(blocks)).alias("block"))
+    return dealt.groupBy("block").applyInPandas(solve, "i long, d double")
+
+
 def _shift(tried: DataFrame, least: float, most: float) -> float:
     """What to add to ``raw`` so that the clipped sum lies within the limits; 0 where it does already."""
     def clipped(shifts: list[float]) -> list[float]:

@@ -171,15 +171,25 @@ def test_kernel_sums_by_blocks(spark):
     fmap = feature_map("rbf", 2, gamma=1.0)
     rows = spark.createDataFrame([(i, list(map(float, v)), float(i)) for i, v in enumerate(x)],
                                  "i long, v array<double>, weight double")
-    got = dict(kernel_sums(rows, rows, fmap, block=7).collect())
-    assert np.allclose([got[i] for i in range(50)], kernel_matrix(x, x, fmap) @ np.arange(50))
-
-
-def test_kernel_mean_matching_with_the_exact_kernel(spark):
+    for options in (dict(block=7), dict(block=7, tiles=1), dict(tiles=30)):
+        got = dict(kernel_sums(rows, rows, fmap, **options).collect())
+        assert np.allclose([got[i] for i in range(50)], kernel_matrix(x, x, fmap) @ np.arange(50))
+    copies = rows.withColumn("v", F.array(F.lit(0.5), F.lit(1.0)))      # one hot vector
+    same = kernel_matrix(x, np.array([[0.5, 1.0]]), fmap)[:, 0] * np.arange(50).sum()
+    assert np.allclose([v for _, v in sorted(kernel_sums(rows, copies, fmap, block=7).collect())], same)
+    none = kernel_sums(rows, rows.limit(0), fmap, block=7).collect()
+    assert sorted(none) == [(i, 0.0) for i in range(50)]
+    assert kernel_sums(rows.limit(0), rows, fmap).count() == 0
+
+
+@pytest.mark.parametrize("block", [2048, 15])
+def test_kernel_mean_matching_with_the_exact_kernel(spark, monkeypatch, block):
+    monkeypatch.setattr(W, "BLOCK", block)
     x = np.random.default_rng(5).normal(size=(120, 3)).round(3)
     df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id int, a double, b double, c double")
     picked = np.flatnonzero(x[:, 0] > 0.4)
-    out, history = W.kernel_mean_matching(df.filter("a > 0.4"), df, "id", ["a", "b", "c"], tolerance=1e-5)
+    out, history = W.kernel_mean_matching(df.filter("a > 0.4"), df, "id", ["a", "b", "c"],
+                                          tolerance=1e-5 if block > 1000 else 1e-4)
     fmap = feature_map("rbf", 3)
     k = kernel_matrix(x[picked], x[picked], fmap)
     kappa = kernel_matrix(x[picked], x, fmap).sum(1) * len(picked) / len(x)
@@ -188,6 +198,10 @@ def test_kernel_mean_matching_with_the_exact_kernel(spark):
     reached = w @ k @ w / 2 - kappa @ w
     assert reached == pytest.approx(best @ k @ best / 2 - kappa @ best, abs=1e-6)
     assert history[-1] == pytest.approx(reached, abs=1e-9)
+    slope = k @ w - kappa                   # the conditions that hold at the optimum alone
+    assert (slope[w < 1 - 1e-4] > -1e-3).all() and (slope[w > 1e-4] < 1e-3).all()
+    if block > 1000:
+        assert len(history) == 3            # one block ends at once
 
 
 def test_poisson_copies_of_heavy_rows(spark):
@@ -206,7 +220,7 @@ def test_kernel_mean_matching_reaches_the_optimum(spark, bound):
     picked = np.flatnonzero(x[:, 0] > 0)
     sample = df.filter(F.col("a") > 0)
     out, history = W.kernel_mean_matching(sample, df, "id", ["a", "b"], weight_bound=bound,
-                                          kernel="poly", degree=2, iterations=30)
+                                          kernel="poly", degree=2, tolerance=1e-5, iterations=90)
     fmap = feature_map("poly", 2, degree=2)
     k = kernel_matrix(x[picked], x[picked], fmap)
     n = len(picked)

@@ -184,7 +184,7 @@ def kernel_mean_moments_poly(spark, sf):
 @query("kernel_mean_matching")
 def kernel_mean_matching(spark, sf):
     df = v_emb(spark, sf, blank=False)
-    out, _ = W.kernel_mean_matching(df.filter("label < 3"), df, "vec_id", _EMB4, iterations=12)
+    out, _ = W.kernel_mean_matching(df.filter("label < 3"), df, "vec_id", _EMB4)
     return out.select("vec_id", "label", "weight")
 
 
