@@ -18,10 +18,11 @@ from counterpoise.operators.evaluate import brier, score_folds
 from counterpoise.operators.features import Preparation, prepare
 from counterpoise.operators.folds import stratified_folds
 from counterpoise.operators.hierarchy import duplicated_rows
+from counterpoise.operators.logit_grid import GridModel, fit_grid, grid_rows, scored, stored
 from counterpoise.operators.kernels import feature_map, kernel_matrix, kernel_sums, mapped, sum_vectors
 from counterpoise.operators.skew import lookup
 from counterpoise.operators.summary import describe, histogram, mean_propensity_by_class
-from counterpoise.session import cut_lineage, scratch_path
+from counterpoise.session import cut_lineage
 
 PROPENSITY = "P(s|x)"
 BLOCK = 2048            # rows whose kernel with each other one task holds
@@ -116,24 +117,27 @@ def propensity_model_check(df: DataFrame, key: str, target: str, all_features: l
                            apriori: list[str], categorical: list[str], k: int = 10,
                            repeats: int = 10, **options) -> DataFrame:
     """Accuracy, recall and Brier score of the selection model per fold, with the a-priori and with
-    all features (feature_set, rep, fold, metric, value).
+    all features (feature_set, rep, fold, metric, value).  All models are fitted in the same passes.
     """
     marked = mark_selected(df, target)
-    path = scratch_path(df.sparkSession, "selection-check")
+    sets = (("apriori", apriori), ("all", all_features))
+    trains, tests = [], []
     for rep in range(repeats):
         folded = cut_lineage(stratified_folds(marked, key, "selected", k, rep))
         for fold in range(k):
             prepared = prepare(propensity_settings(key, all_features, categorical, **options),
                                folded.filter(F.col("fold") != fold),
                                folded.filter(F.col("fold") == fold))
-            for name, features in (("apriori", apriori), ("all", all_features)):
-                _, apply = fit_logistic(prepared.train, features, "selected")
-                apply(prepared.test).select(
-                    F.lit(name).alias("feature_set"), F.lit(rep).alias("rep"),
-                    F.lit(fold).alias("fold"), "selected", "probability",
-                    (F.col("probability") > 0.5).cast("int").alias("prediction")
-                ).write.mode("append").parquet(path)
-    preds = df.sparkSession.read.parquet(path)
+            for name, features in sets:
+                trains.append(cut_lineage(grid_rows(prepared.train, features, "selected", len(trains))))
+                tests.append(cut_lineage(grid_rows(prepared.test, features, "selected", len(tests)).select(
+                    "table", "x", F.col("y").cast("int").alias("selected"), F.lit(name).alias("feature_set"),
+                    F.lit(rep).alias("rep"), F.lit(fold).alias("fold"))))
+    rows, held = stored(trains), stored(tests)
+    sizes = {r["table"]: r["count"] for r in rows.groupBy("table").count().collect()}
+    tables = sorted(sizes)
+    betas = fit_grid(rows, [GridModel(t, l2_strength(1.0, float(sizes[t]))) for t in tables])
+    preds = scored(held, dict(zip(tables, betas)))
     groups = ["feature_set", "rep", "fold"]
     scores = score_folds(preds, groups, "selected", "prediction").filter(
         F.col("metric").isin("accuracy", "recall"))

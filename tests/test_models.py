@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from counterpoise.operators import evaluate as V, features as X, models as M, weights as W
+from counterpoise.operators import evaluate as V, features as X, folds as K, logit_grid as G, models as M, weights as W
 from counterpoise.operators.kernels import feature_map, kernel_matrix, kernel_sums
 
 
@@ -220,7 +220,7 @@ def test_kernel_mean_matching_reaches_the_optimum(spark, bound):
     picked = np.flatnonzero(x[:, 0] > 0)
     sample = df.filter(F.col("a") > 0)
     out, history = W.kernel_mean_matching(sample, df, "id", ["a", "b"], weight_bound=bound,
-                                          kernel="poly", degree=2, tolerance=1e-5, iterations=90)
+                                          kernel="poly", degree=2, tolerance=1e-3, iterations=60)
     fmap = feature_map("poly", 2, degree=2)
     k = kernel_matrix(x[picked], x[picked], fmap)
     n = len(picked)
@@ -291,3 +291,54 @@ def test_cross_validation_keeps_every_row_once(parts):
     assert preds.count() == 600 and result.count() == 2 * 2 * 5
     good = result.filter("model = 'Logit' and metric = 'accuracy'").agg(F.avg("value")).first()[0]
     assert good > 0.7
+
+
+def test_logistic_grid_is_the_penalised_optimum(spark):
+    """Every model of two tables against its own Newton fit; jobs don't grow with the models."""
+    rng = np.random.default_rng(3)
+    tables = {}
+    for t, d in ((4, 3), (9, 1)):
+        x = rng.normal(size=(160, d)).round(3)
+        y = (rng.random(160) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+        tables[t] = x, y, rng.integers(1, 4, 160).astype(float), rng.integers(0, 4, 160)
+    rows = spark.createDataFrame([(t, x[i].tolist(), float(y[i]), float(w[i]), int(f[i])) for t, (x, y, w, f) in tables.items()
+                                  for i in range(160)], "table int, x array<double>, y double, w double, fold int")
+    rows = G.stored([rows])
+    models = [G.GridModel(t, reg, held, w0, w1) for t in (4, 9) for reg in (1e-3, 0.1, 2.0) for held in (-1, 0, 3)
+              for w0, w1 in ((1.0, 1.0), (0.4, 1.7))] + [G.GridModel(5, 1.0)]
+    found = G.fit_grid(rows, models)
+    scores = G.held_out_scores(rows, models, found)
+    for m, beta, score in zip(models, found, scores):
+        if m.table == 5:
+            assert not len(beta)
+            continue
+        x, y, w, f = tables[m.table]
+        keep = f != m.held
+        mass = (w * np.where(y == 1, m.weight1, m.weight0))[keep]
+        want = newton(x[keep], y[keep], 1 / (m.reg * mass.sum()), mass)
+        assert np.allclose(beta, want, atol=1e-7)
+        said, truth = (x[~keep] @ want[:-1] + want[-1] > 0), y[~keep] == 1
+        hit, wrong, missed = (said & truth).sum(), (said & ~truth).sum(), (~said & truth).sum()
+        assert score == pytest.approx(1.25 * hit / max(1.25 * hit + 0.25 * missed + wrong, 1e-9))
+
+
+def test_logistic_grid_of_separable_and_one_class_tables(spark):
+    rows = spark.createDataFrame([(0, [float(i)], float(i > 4), 1.0, i % 2) for i in range(10)]
+                                 + [(1, [float(i)], 1.0, 1.0, i % 2) for i in range(6)],
+                                 "table int, x array<double>, y double, w double, fold int")
+    fits = G.choose_and_fit(G.stored([rows]), [0.1, 10.0], ["balanced", None], 2)
+    assert fits[0][0][0] > 0 and np.isfinite(fits[1][0]).all()
+
+
+def test_together_or_one_by_one(parts):
+    """Cross-validation of all folds together gives what fits of each fold give."""
+    labelled = parts.withColumn("w", F.lit(1.0) + (F.col("b") > 0).cast("double"))
+    s = X.Preparation(["a", "b"], "truth", continuous=["a", "b"], keep=["id", "w"])
+    spec = M.logit([0.1, 10.0], ["balanced", None])
+    _, preds = M.cross_validate(labelled, None, s, [spec], "id", k=3, repeats=1, weight="w", inner_folds=3)
+    got = {r["id"]: r["p"] for r in preds.collect()}
+    folded = K.stratified_folds(labelled, "id", "truth", 3, 0, out="_outer")
+    ready = X.prepare(s, folded.filter("_outer <> 1"), folded.filter("_outer = 1"))
+    alone = M.fit_model(spec, ready.train, ready.features, "truth", "id", "w", 3).predict(ready.test).collect()
+    assert len(alone) == 100 and all(got[r["id"]] == pytest.approx(r["probability"], abs=1e-6) for r in alone)
+    assert len(got) == 300
