@@ -277,3 +277,72 @@ def boosted_trees_population(spark, sf):
 def averaged_network_population(spark, sf):
     from counterpoise.operators import models as M
     return _population(spark, sf, M.averaged_network(2), "weight")
+
+
+# ---- logistic models fitted together ---------------------------------------------------------------
+
+_POINTS = "(VALUES (0, 'balanced', 0.1), (1, 'balanced', 1.0), (2, 'balanced', 10.0), (3, 'none', 0.1), " \
+          "(4, 'none', 1.0), (5, 'none', 10.0), (6, 'given', 0.1), (7, 'given', 1.0), (8, 'given', 10.0))"
+_NEWTON = f"""{V_PART}, folded AS (
+    SELECT use_m::DOUBLE AS x, y::INTEGER AS y, ((row_number() OVER (PARTITION BY y
+      ORDER BY md5(part_id::VARCHAR || ':fold0'), part_id) - 1) % 10)::INTEGER AS fold
+    FROM v_part WHERE y IS NOT NULL AND use_m IS NOT NULL),
+  cells AS (SELECT fold, x, y, count(*)::DOUBLE AS n FROM folded GROUP BY ALL),
+  sizes AS (SELECT sum(n) AS n, sum(n) FILTER (y = 1) AS n1, sum(n) FILTER (y = 0) AS n0 FROM cells),
+  points(point, kind, c) AS (SELECT * FROM {_POINTS}),
+  weighted AS (SELECT point, c::DOUBLE AS c,
+      CASE kind WHEN 'balanced' THEN n / (2*n0) WHEN 'given' THEN 0.4 ELSE 1 END::DOUBLE AS w0,
+      CASE kind WHEN 'balanced' THEN n / (2*n1) WHEN 'given' THEN 0.6 ELSE 1 END::DOUBLE AS w1, n0, n1
+    FROM points, sizes),
+  models AS (SELECT point*10 + held AS id, point, held, w0, w1, 1 / (c * (w0*n0 + w1*n1) * 0.9) AS reg
+    FROM weighted, (SELECT unnest(range(0, 10)) AS held)),
+  parts AS (SELECT id, x, y, reg, sum(n * CASE y WHEN 1 THEN w1 ELSE w0 END) AS mass
+    FROM models JOIN cells ON fold <> held GROUP BY id, x, y, reg),
+  newton AS (
+    SELECT id, 0 AS step, 0::DOUBLE AS b0, 0::DOUBLE AS b1 FROM models
+    UNION ALL
+    SELECT id, step + 1, b0 - (h11*g0 - h01*g1) / (h00*h11 - h01*h01), b1 - (h00*g1 - h01*g0) / (h00*h11 - h01*h01)
+    FROM (SELECT id, step, b0, b1, sum(mass*(p - y)) / sum(mass) AS g0,
+            sum(mass*(p - y)*x) / sum(mass) + max(reg)*b1 AS g1, sum(mass*p*(1 - p)) / sum(mass) AS h00,
+            sum(mass*p*(1 - p)*x) / sum(mass) AS h01, sum(mass*p*(1 - p)*x*x) / sum(mass) + max(reg) AS h11
+          FROM (SELECT n.*, q.x, q.y, q.mass, q.reg, 1 / (1 + exp(-(b0 + b1*q.x))) AS p
+                FROM newton n JOIN parts q ON q.id = n.id WHERE step < 25)
+          GROUP BY id, step, b0, b1)),
+  fits AS (SELECT id, b0, b1 FROM newton WHERE step = 25)"""
+
+
+def _grid(spark, sf):
+    from counterpoise.operators import logit_grid as G
+    df = v_part(spark, sf).filter("y is not null and use_m is not null")
+    folded = K.stratified_folds(df, "part_id", "y", 10)
+    rows = G.stored([G.grid_rows(folded, ["use_m"], "y", fold="fold")])
+    counts = {int(r["y"]): r["count"] for r in rows.groupBy("y").count().collect()}
+    n = sum(counts.values())
+    weights = [(n / (2 * counts[0]), n / (2 * counts[1])), (1.0, 1.0), (0.4, 0.6)]
+    return G, rows, [G.GridModel(0, 1 / (c * (w0 * counts[0] + w1 * counts[1]) * 0.9), held, w0, w1)
+                     for w0, w1 in weights for c in (0.1, 1.0, 10.0) for held in range(10)]
+
+
+@query("logit_grid_models", f"""WITH RECURSIVE {_NEWTON}
+  SELECT m.point::INTEGER AS point, m.held::INTEGER AS held, {r('b0', 'intercept')}, {r('b1', 'slope')}
+  FROM fits JOIN models m USING (id)""")
+def logit_grid_models(spark, sf):
+    """Coefficients at all 9 grid points with each of 10 folds held out: 90 models, fitted together."""
+    G, rows, models = _grid(spark, sf)
+    found = [(i // 10, m.held, float(b[1]), float(b[0]))
+             for i, (m, b) in enumerate(zip(models, G.fit_grid(rows, models)))]
+    return rounded(spark.createDataFrame(found, "point int, held int, intercept double, slope double"))
+
+
+@query("logit_grid_scores", f"""WITH RECURSIVE {_NEWTON},
+  said AS (SELECT id, sum(n) FILTER (b0 + b1*x > 0 AND y = 1) AS tp, sum(n) FILTER (b0 + b1*x > 0 AND y = 0) AS fp,
+      sum(n) FILTER (b0 + b1*x <= 0 AND y = 1) AS missed
+    FROM fits JOIN models USING (id) JOIN cells ON fold = held GROUP BY id),
+  each AS (SELECT id // 10 AS point, CASE WHEN tp > 0 THEN 1.25*tp / (1.25*tp + 0.25*coalesce(missed, 0)
+      + coalesce(fp, 0)) ELSE 0 END AS f FROM said)
+  SELECT point::INTEGER AS point, {r('avg(f)', 'f_beta')} FROM each GROUP BY point""")
+def logit_grid_scores(spark, sf):
+    """Mean F0.5 over 10 folds at each grid point, by which the point is chosen."""
+    G, rows, models = _grid(spark, sf)
+    means = G.held_out_scores(rows, models, G.fit_grid(rows, models)).reshape(9, 10).mean(1)
+    return rounded(spark.createDataFrame([(i, float(f)) for i, f in enumerate(means)], "point int, f_beta double"))
