@@ -1,26 +1,33 @@
 """Exact nearest-neighbour imputation without comparing all pairs.
 
 Distance between rows with unknown cells: sqrt(d / m * sum of squared differences over the m columns
-known in both).  It is never less than the plain distance over the columns known everywhere (the
-anchors).  So rows are put into cells around pivots in anchor space; each row first searches its own
-cell, and then only the cells that, by the triangle inequality, could hold something nearer than what
-it found.  Equal rows are searched once and equal donors carry a count.  Cells are cut into blocks of
-bounded size, so no task holds an unbounded group, whatever share of the rows falls into one cell.
+known in both).  Donors are indexed by what they know: the most frequent patterns of known columns are
+the bases, a donor belongs to the widest base that it knows all columns of, and to the cell of the
+nearest of that base's pivots, over the base's columns.  A row that knows q columns, b of the base's
+among them, is never nearer to a donor of the cell than sqrt(d / q) times its distance to the pivot over
+those b columns less the cell's radius, by the triangle inequality.  So a row first searches, for each
+column it lacks, the nearest cell whose base has the column, and then only the cells that could hold
+something nearer than what it found, also where no column is known everywhere.  Equal rows are searched
+once and equal donors carry a count.  Cells are cut into blocks of bounded size, so no task holds an
+unbounded group, whatever share of the rows falls into one cell.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from counterpoise.operators.skew import lookup
 from counterpoise.session import cut_lineage
 
 BLOCK_ROWS = 20_000
 MAX_PIVOTS = 512
+MAX_BASES = 64
+_MASK = 62              # columns that patterns tell apart
 _CHUNK_CELLS = 4_000_000
 
 
@@ -110,6 +117,94 @@ def _spread(df: DataFrame, sizes: dict[int, int], others: dict[int, int], own: s
         other, F.explode(F.sequence(F.lit(0), per_cell(others) - 1)))
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Pivots of all bases: ``columns[b]`` of base b, ``centres[b]`` its pivots; the last cell has what fits none."""
+
+    d: int
+    columns: list[np.ndarray]
+    centres: list[np.ndarray]
+
+    @property
+    def offsets(self) -> np.ndarray:
+        return np.cumsum([0] + [len(c) for c in self.centres])
+
+    def home(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of each donor, and its distance to the pivot."""
+        cell, r = np.full(len(rows), self.offsets[-1]), np.zeros(len(rows))
+        left = np.ones(len(rows), dtype=bool)
+        for columns, centres, offset in zip(self.columns, self.centres, self.offsets):
+            mine = np.flatnonzero(left & ~np.isnan(rows[:, columns]).any(1))
+            dist = np.sqrt(((rows[mine][:, None, columns] - centres[None]) ** 2).sum(2))
+            cell[mine], r[mine] = offset + dist.argmin(1), dist.min(1)
+            left[mine] = False
+        return cell, r
+
+    def distances(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of rows to all pivots over the base's columns that they know, and how many those are."""
+        dist, known = (np.zeros((len(rows), self.offsets[-1] + 1)) for _ in range(2))
+        for columns, centres, offset in zip(self.columns, self.centres, self.offsets):
+            diff = rows[:, None, columns] - centres[None]
+            place = slice(offset, offset + len(centres))
+            dist[:, place] = np.sqrt(np.nansum(diff ** 2, axis=2))
+            known[:, place] = (~np.isnan(diff)).sum(2)
+        return dist, known
+
+    def starts(self, rows: np.ndarray) -> list[list[int]]:
+        """Where each row searches first: for each column it lacks the nearest cell of a base with that column."""
+        dist, known = self.distances(rows)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scaled = np.where(known > 0, dist * np.sqrt(self.d / known), np.inf)
+        scaled[:, -1] = np.finfo(float).max     # what fits no base comes last but for bases without shared columns
+        has = np.zeros((self.d, self.offsets[-1] + 1), dtype=bool)
+        for columns, offset, end in zip(self.columns, self.offsets, self.offsets[1:]):
+            has[columns, offset:end] = True
+        out = []
+        for row, near in zip(rows, scaled):
+            picks = {int(np.where(has[c] if np.isfinite(near[has[c]]).any() else True, near, np.inf).argmin())
+                     for c in np.flatnonzero(np.isnan(row))}
+            out.append(sorted(picks))
+        return out
+
+    def bounds(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """What the distance of rows to any donor of each cell is at least; ``low`` and ``high`` are the cells' radii."""
+        dist, known = self.distances(rows)
+        width = np.zeros(self.offsets[-1] + 1)
+        for columns, offset, end in zip(self.columns, self.offsets, self.offsets[1:]):
+            width[offset:end] = len(columns)
+        inner = np.where(known == width, low - dist, 0.0)       # a row that knows the base may be inside the ring
+        scale = np.sqrt(self.d / np.maximum((~np.isnan(rows)).sum(1), 1))
+        return np.maximum(np.maximum(dist - high, inner), 0.0) * scale[:, None]
+
+
+def _mask_of(d: int) -> Column:
+    return sum((F.when(F.col("v")[i].isNotNull(), F.lit(1 << i)).otherwise(0).cast("long")
+                for i in range(1, min(d, _MASK))), F.when(F.col("v")[0].isNotNull(), F.lit(1)).otherwise(0).cast("long"))
+
+
+def _cells(pool: DataFrame, d: int, pivots: int) -> Cells:
+    """Bases and pivots for ``pool (v, n)``: two bounded lists come to the driver.
+
+    Pivots are dealt to bases by their share of the donors, and drawn by a hash of the vector."""
+    marked = pool.withColumn("mask", _mask_of(d))
+    counted = marked.groupBy("mask").count().where("mask <> 0").orderBy(F.desc("count"), "mask").limit(MAX_BASES).collect()
+    shares = {r["mask"]: r["count"] for r in counted}
+    total = max(1, sum(shares.values()))
+    drawn: dict[int, list] = {}
+    rows = marked.where(F.col("mask").isin(list(shares))).orderBy(F.md5(F.to_json("v")), "v").limit(8 * pivots).collect() \
+        if shares else []
+    for r in rows:
+        own = drawn.setdefault(r["mask"], [])
+        if len(own) < max(1, round(pivots * shares[r["mask"]] / total)):
+            own.append(r["v"])
+    columns, centres = [], []
+    for mask in sorted(drawn, key=lambda m: (-m.bit_count(), -shares[m], m)):
+        places = np.array([i for i in range(min(d, _MASK)) if mask >> i & 1])
+        columns.append(places)
+        centres.append(np.unique(np.array([[v[i] for i in places] for v in drawn[mask]], dtype=float), axis=0))
+    return Cells(d, columns, centres)
+
+
 def knn_impute(df: DataFrame, donors: DataFrame, columns: list[str], k: int = 5,
                block_rows: int = BLOCK_ROWS, pivots: int | None = None) -> DataFrame:
     """Fill each unknown cell with the mean of the k nearest donors that know the column.
@@ -123,42 +218,28 @@ def knn_impute(df: DataFrame, donors: DataFrame, columns: list[str], k: int = 5,
 
     facts = pool.agg(F.count(F.lit(1)), *[F.try_divide(
         F.sum(F.col("v")[i] * F.col("n")), F.sum(F.when(F.col("v")[i].isNotNull(), F.col("n"))))
-        for i in range(len(columns))], *[F.count_if(F.col("v")[i].isNull())
-                                         for i in range(len(columns))]).first()
+        for i in range(len(columns))]).first()
     d = len(columns)
-    means, pool_gaps = facts[1:d + 1], facts[d + 1:]
-    asked_gaps = asked.agg(F.count(F.lit(1)), *[F.count_if(F.col("v")[i].isNull())
-                                                for i in range(d)]).first()
-    n_pool, n_asked = facts[0], asked_gaps[0]
+    means = facts[1:d + 1]
+    n_pool, n_asked = facts[0], asked.count()
     if not n_asked or not n_pool:
         return df
-    anchors = [i for i in range(d) if not pool_gaps[i] and not asked_gaps[i + 1]]
     if pivots is None:
         pivots = min(MAX_PIVOTS, max(1, n_pool // block_rows))
-    if not anchors:
-        pivots = 1
-
-    centres = None
-    if pivots > 1:
-        rows = pool.orderBy(F.md5(F.to_json("v")), "v").limit(pivots).collect()
-        centres = np.unique([[r["v"][i] for i in anchors] for r in rows], axis=0)
-
-    def to_centres(v: pd.Series) -> np.ndarray:
-        points = _matrix(v)[:, anchors]
-        return np.sqrt(((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2))
+    index = _cells(pool, d, pivots) if pivots > 1 else Cells(d, [], [])
 
     def place(batches):
         for batch in batches:
-            if centres is None:
-                batch["cell"], batch["r"] = 0, 0.0
-            else:
-                dist = to_centres(batch["v"])
-                batch["cell"] = dist.argmin(axis=1)
-                batch["r"] = dist.min(axis=1)
+            batch["cell"], batch["r"] = index.home(_matrix(batch["v"]).reshape(len(batch), d))
+            yield batch
+
+    def begin(batches):
+        for batch in batches:
+            batch["cells"] = index.starts(_matrix(batch["v"]).reshape(len(batch), d))
             yield batch
 
     pool = cut_lineage(pool.mapInPandas(place, "v array<double>, n bigint, cell int, r double"))
-    asked = cut_lineage(asked.mapInPandas(place, "v array<double>, cell int, r double"))
+    asked = cut_lineage(asked.mapInPandas(begin, "v array<double>, cells array<int>"))
     cells = {r["cell"]: r for r in pool.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()}
     blocks = {c: math.ceil(r["n"] / block_rows) for c, r in cells.items()}
@@ -172,8 +253,8 @@ def knn_impute(df: DataFrame, donors: DataFrame, columns: list[str], k: int = 5,
         return _search(_spread(queries.select("v", "cell"), parts, blocks, "part", "block"),
                        _spread(pool, blocks, parts, "block", "part"), k)
 
-    best = _best(search(asked), k)
-    if centres is not None:
+    best = _best(search(cut_lineage(asked.select("v", F.explode("cells").alias("cell")))), k)
+    if index.centres:
         best = cut_lineage(best)
         # how far a row must look: its k-th distance, or anywhere if a column has fewer than k
         reach = best.groupBy("v").agg(
@@ -183,21 +264,20 @@ def knn_impute(df: DataFrame, donors: DataFrame, columns: list[str], k: int = 5,
         gaps = F.size(F.filter("v", lambda x: x.isNull()))
         wide = asked.join(reach, on="v", how="left").withColumn(
             "reach", F.when(F.col("found") == gaps, F.col("reach")).otherwise(F.lit(float("inf"))))
-        limits = [(c, r["low"], r["high"]) for c, r in sorted(cells.items())]
+        low, high = (np.array([cells[c][side] if c in cells else np.nan for c in range(index.offsets[-1] + 1)])
+                     for side in ("low", "high"))
 
         def further(batches):
             for batch in batches:
-                dist = to_centres(batch["v"])
-                out = []
-                for cell, low, high in limits:
-                    bound = np.maximum(dist[:, cell] - high, low - dist[:, cell])
-                    # a hair of slack keeps ties that rounding would cut off
-                    pick = (bound <= batch["reach"].to_numpy() * (1 + 1e-9) + 1e-12)
-                    pick &= batch["cell"].to_numpy() != cell
-                    out.append(pd.DataFrame({"v": batch["v"][pick], "cell": cell}))
-                yield pd.concat(out, ignore_index=True)
-
-        more = cut_lineage(wide.select("v", "cell", "reach").mapInPandas(
+                bound = index.bounds(_matrix(batch["v"]).reshape(len(batch), d), low, high)
+                # a hair of slack keeps ties that rounding would cut off; cells without donors have no bound
+                pick = bound <= batch["reach"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12
+                for i, done in enumerate(batch["cells"]):
+                    pick[i, done] = False
+                row, cell = np.nonzero(pick)
+                yield pd.DataFrame({"v": batch["v"].iloc[row].to_numpy(), "cell": cell})
+
+        more = cut_lineage(wide.select("v", "cells", "reach").mapInPandas(
             further, "v array<double>, cell int"))
         best = _best(best.unionByName(search(more)), k)
 

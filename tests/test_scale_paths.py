@@ -9,6 +9,7 @@ from counterpoise.operators import prefix as P, skew as K
 from counterpoise.operators.bootstrap import bootstrap_mean_ci
 from counterpoise.operators import bootstrap
 from counterpoise.operators.folds import stratified_folds
+from counterpoise.operators import knn
 from counterpoise.operators.knn import knn_impute
 from counterpoise.operators.quantiles import exact_quantiles
 
@@ -137,7 +138,7 @@ def brute_knn(rows, donors, k):
     return out
 
 
-@pytest.mark.parametrize("anchors,pivots,block", [(0, None, 20_000), (2, 6, 7), (2, 9, 1000)])
+@pytest.mark.parametrize("anchors,pivots,block", [(0, None, 20_000), (0, 24, 9), (2, 9, 1000)])
 def test_knn_against_brute_force(spark, anchors, pivots, block):
     rng = np.random.default_rng(5)
     data = rng.normal(size=(90, 5)).round(3)
@@ -156,6 +157,27 @@ def test_knn_against_brute_force(spark, anchors, pivots, block):
     assert np.allclose(got, brute_knn(data, data, 5), atol=1e-9)
 
 
+def test_knn_passes_over_cells_where_every_column_has_gaps(spark, monkeypatch):
+    """The same results as brute force, from a part of the pairs of rows and cells."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(6, 5)) * 30
+    data = (centres[rng.integers(0, 6, 500)] + rng.normal(size=(500, 5))).round(2)
+    for i in range(500):
+        data[i, rng.choice(5, rng.integers(0, 2), replace=False)] = np.nan
+    assert np.isnan(data).any(0).all()
+    rows = [(i, *[None if np.isnan(x) else float(x) for x in r]) for i, r in enumerate(data)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"c{i} double" for i in range(5)))
+    seen, cells = [], []
+    search, cells_of = knn._search, knn._cells
+    monkeypatch.setattr(knn, "_search", lambda q, d, k: seen.append(q.select("v", "cell").distinct().count()) or search(q, d, k))
+    monkeypatch.setattr(knn, "_cells", lambda *a: cells.append(cells_of(*a)) or cells[0])
+    out = knn_impute(df, df, [f"c{i}" for i in range(5)], 3, block_rows=1000, pivots=60)
+    got = np.array([list(r)[1:] for r in sorted(out.collect())], float)
+    assert np.allclose(got, brute_knn(data, data, 3), atol=1e-9)
+    asked, all_cells = int(np.isnan(data).any(1).sum()), cells[0].offsets[-1] + 1
+    assert all_cells > 30 and sum(seen) < 0.5 * asked * all_cells
+
+
 def test_bootstrap_paths_agree(spark, monkeypatch):
     x = np.random.default_rng(3).exponential(size=3000)
     df = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(4)
