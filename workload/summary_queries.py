@@ -502,3 +502,50 @@ def empty_rows(spark, sf):
   WHERE Accepted_Rank <> 'Species' GROUP BY 1""")
 def domain_violations(spark, sf):
     return Q.domain_violations(v_taxa(spark, sf), "Accepted_Rank", ["Species"])
+
+
+def _suite(spark, sf):
+    from counterpoise.operators import constraints as C
+    df = v_part(spark, sf)
+    source = df.filter("use_g = 1").select("name")
+    return df, [C.implies("alkaloid tests", F.col("alk").isNotNull(), F.col("tested") == 1), C.not_null("price known", "price"),
+                C.integral("whole price", "price"), C.within("soil range", "soil", 0, 10),
+                C.in_domain("known families", "family", ["MFGR#1", "MFGR#2"]), C.not_empty("some value", ["alk", "herb", "price"]),
+                C.one_part("labelled or not", [F.col("y").isNull(), F.col("y").isNotNull()]),
+                C.Unique("one row per name", ("name",)), C.Unique("one genus and x", ("genus", "x")),
+                C.Constant("one family per genus", ("genus",), "family"), C.Constant("one soil per genus", ("genus",), "soil"),
+                C.SameSet("medicinal is used", "name", "use_m", source)]
+
+
+@query("constraint_suite", f"""WITH {V_PART}, one AS (SELECT
+    count(*) FILTER (alk IS NOT NULL AND NOT coalesce(tested = 1, false)) AS a, count(*) FILTER (price IS NULL) AS b,
+    count(*) FILTER (price <> round(price)) AS c, count(*) FILTER (soil < 0 OR soil > 10) AS d,
+    count(*) FILTER (NOT coalesce(family IN ('MFGR#1', 'MFGR#2'), false)) AS e,
+    count(*) FILTER (alk IS NULL AND herb IS NULL AND price IS NULL) AS f FROM v_part),
+  genus AS (SELECT genus, count(DISTINCT family) + max((family IS NULL)::INTEGER) AS families,
+    count(DISTINCT soil) + max((soil IS NULL)::INTEGER) AS soils FROM v_part WHERE genus IS NOT NULL GROUP BY genus)
+  SELECT 'alkaloid tests' AS rule, a AS violations FROM one UNION ALL SELECT 'price known', b FROM one
+  UNION ALL SELECT 'whole price', c FROM one UNION ALL SELECT 'soil range', d FROM one
+  UNION ALL SELECT 'known families', e FROM one UNION ALL SELECT 'some value', f FROM one
+  UNION ALL SELECT 'labelled or not', 0
+  UNION ALL SELECT 'one row per name', count(*) FROM (SELECT 1 FROM v_part GROUP BY name HAVING count(*) > 1)
+  UNION ALL SELECT 'one genus and x', count(*) FROM (SELECT 1 FROM v_part GROUP BY genus, x HAVING count(*) > 1)
+  UNION ALL SELECT 'one family per genus', count(*) FILTER (families > 1) FROM genus
+  UNION ALL SELECT 'one soil per genus', count(*) FILTER (soils > 1) FROM genus
+  UNION ALL SELECT 'medicinal is used', count(*) FROM (SELECT name FROM v_part WHERE name IS NOT NULL GROUP BY name
+    HAVING bool_or(coalesce(use_m = 1, false)) <> bool_or(coalesce(use_g = 1, false)))""")
+def constraint_suite(spark, sf):
+    """Twelve checks from one scan and one shuffle."""
+    from counterpoise.operators import constraints as C
+    return C.check_all(*_suite(spark, sf))
+
+
+@query("constraint_suite_rows", f"""WITH {V_PART} SELECT name, array_to_string(list_filter([
+    CASE WHEN alk IS NOT NULL AND NOT coalesce(tested = 1, false) THEN 'alkaloid tests' END,
+    CASE WHEN price IS NULL THEN 'price known' END, CASE WHEN price <> round(price) THEN 'whole price' END,
+    CASE WHEN soil < 0 OR soil > 10 THEN 'soil range' END,
+    CASE WHEN NOT coalesce(family IN ('MFGR#1', 'MFGR#2'), false) THEN 'known families' END,
+    CASE WHEN alk IS NULL AND herb IS NULL AND price IS NULL THEN 'some value' END], lambda r: r IS NOT NULL), ',') AS broken FROM v_part WHERE broken <> ''""")
+def constraint_suite_rows(spark, sf):
+    from counterpoise.operators import constraints as C
+    return C.broken_rows(*_suite(spark, sf)).select("name", F.array_join("broken", ",").alias("broken"))
