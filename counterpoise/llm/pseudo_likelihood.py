@@ -2,9 +2,12 @@
 
 A network predicts each word from ``REACH`` words on either side: vectors of the neighbours, one set per
 place, are summed and bent by tanh, and a two-level softmax gives the word's class and the word in its
-class.  The vocabulary is counted over all documents.  Every partition trains its own copy on all of its
-words, in numpy; the copies are averaged by words seen, in a tree, and the average starts the next round.
-A document's score is the sum of its words' conditional log-probabilities.
+class.  All words of all documents are counted in a table.  The most frequent ones have numbers of their own;
+the network says how likely one of the others is at a place, and its share among them is its share of their
+count, which is joined from the table.  So every word has a chance of its own, and the table grows with the
+corpus.  Every partition trains its own copy on all of its words, in numpy; the copies are averaged by words
+seen, in a tree, and the average starts the next round.  A document's score is the sum of its words'
+conditional log-probabilities.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ from counterpoise.session import cut_lineage
 REACH = 2
 DEPTH = 12
 CLASSES = 24
-WORDS = CLASSES * CLASSES       # the last one stands for all other words, the one before for a text's border
+WORDS = CLASSES * CLASSES       # numbers; the last is shared by all other words, the one before is a text's border
 RATE = 0.05
 _STEP = 16_384                  # words in a training step
 _FAN = 64                       # copies that are averaged in one task
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the ``WORDS - 2`` most frequent lower-case words of all documents, most frequent first."""
+def counted(docs: DataFrame) -> DataFrame:
+    """Rows ``(word, times)``: hashes of all lower-case words of ``docs`` and how often each occurs; written."""
 
     def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -39,8 +42,12 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"word": names.astype(np.int64), "times": times.astype(np.int64)})
 
     found = docs.select("text").mapInPandas(counts, "word long, times long")
-    top = (found.groupBy("word").agg(F.sum("times").alias("times"))
-           .orderBy(F.desc("times"), "word").limit(WORDS - 2).collect())         # bounded by WORDS
+    return cut_lineage(found.groupBy("word").agg(F.sum("times").alias("times")))
+
+
+def vocabulary(counts: DataFrame) -> np.ndarray:
+    """Hashes of the ``WORDS - 2`` most frequent words, most frequent first: those with numbers of their own."""
+    top = counts.orderBy(F.desc("times"), "word").limit(WORDS - 2).collect()         # bounded by WORDS
     return np.array([row["word"] for row in top], dtype=np.int64).astype(np.uint64)
 
 
@@ -58,6 +65,7 @@ class Coder:
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers with borders, and where each text's words start (and end, REACH before the next)."""
         words, bounds = word_hashes(_bytes(texts))
+        self.hashes = words         # of the texts read last
         code = np.full(len(words), WORDS - 1, dtype=np.int64)
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
@@ -212,32 +220,62 @@ def trained(docs: DataFrame, words: np.ndarray, rounds: int = 1) -> list[np.ndar
 
 
 def score_of(weights: list[np.ndarray], words: np.ndarray, text: Column | str = "text") -> Column:
-    """A struct ``(n long, total double)``: words of the whole text and the sum of their log-probabilities; both
-    0 for null and empty texts."""
+    """A struct ``(n, total, rare, times)``: words of the whole text, the sum of their log-probabilities as far as the
+    network goes, and the hashes and numbers of the words without numbers of their own; empty for null texts."""
 
-    @pandas_udf("n long, total double")
+    @pandas_udf("n long, total double, rare array<long>, times array<int>")
     def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = Coder(words)
         for batch in batches:
-            texts, n, total = batch.tolist(), [], []
+            texts, n, total, rare, times = batch.tolist(), [], [], [], []
             for low in range(0, len(texts), 256):
-                numbers, starts = coder.numbers(texts[low:low + 256])
+                part = texts[low:low + 256]
+                numbers, starts = coder.numbers(part)
+                at = _inner(starts)
                 sizes = np.diff(starts) - REACH
-                chances = np.append(log_chances(weights, numbers, _inner(starts)), 0)
+                chances = np.append(log_chances(weights, numbers, at), 0)
                 sums = np.add.reduceat(chances, np.minimum(np.cumsum(sizes) - sizes, len(chances) - 1))
                 n.append(sizes)
                 total.append(np.where(sizes > 0, sums, 0.0))
+                own, hashes = numbers[at] == WORDS - 1, coder.hashes
+                cuts = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(sizes)])]
+                left = hashes[own].astype(np.int64)
+                for low_cut, high_cut in zip(cuts, cuts[1:]):
+                    names, often = np.unique(left[low_cut:high_cut], return_counts=True)
+                    rare.append(names)
+                    times.append(often.astype(np.int32))
             yield pd.DataFrame({"n": np.concatenate(n or [np.zeros(0, np.int64)]).astype(np.int64),
-                                "total": np.concatenate(total or [np.zeros(0)])})
+                                "total": np.concatenate(total or [np.zeros(0)]), "rare": rare, "times": times})
 
     return told(text)
 
 
+def scored(docs: DataFrame, weights: list[np.ndarray], words: np.ndarray, counts: DataFrame) -> DataFrame:
+    """Per row of ``docs (doc_id, text)``: ``doc_id``, ``n`` words and ``total``, the sum of their log-probabilities.
+
+    A word without number of its own has the network's chance of such a word times its share of their count; one
+    that ``counts`` lacks is counted as half.  Words and counts meet by a shuffle on the word: none of these words
+    is among the most frequent, so none is hot."""
+    rows = cut_lineage(docs.select("doc_id", score_of(weights, words).alias("s")).select(
+        "doc_id", "s.*", F.monotonically_increasing_id().alias("row")))
+    known = counts.where(~F.col("word").isin([int(w) for w in words.astype(np.int64)])) if len(words) else counts
+    others = float(known.agg(F.sum("times")).first()[0] or 1)
+    asked = rows.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("here"))))
+    share = F.log(F.coalesce(F.col("times").cast("double"), F.lit(0.5)) / F.lit(others))
+    sums = asked.join(known.hint("shuffle_merge"), "word", "left").groupBy("row").agg(
+        F.sum(F.col("here") * share).alias("within"))
+    return rows.join(sums, "row", "left").select(
+        "doc_id", "n", (F.col("total") + F.coalesce("within", F.lit(0.0))).alias("total"))
+
+
 def report(docs: DataFrame) -> DataFrame:
-    """Per document its words, the sum of their conditional log-probabilities, and the mean (null without
-    words).  Repeated rows count as often as they stand there, in counts and in training."""
-    words = vocabulary(docs)
+    """Per document its words, the sum of their conditional log-probabilities, and the mean (null without words).
+
+    Repeated rows count as often as they stand there, in counts and in training, and each has a row here, also with a
+    null doc_id.  Texts of any length are read whole; null and empty ones have no words and a sum of 0."""
+    counts = counted(docs)
+    words = vocabulary(counts)
     weights = trained(docs, words)
-    return docs.select("doc_id", score_of(weights, words).alias("s")).select(
-        "doc_id", F.col("s.n").alias("n_words"), F.col("s.total").alias("log_likelihood"),
-        F.when(F.col("s.n") > 0, F.col("s.total") / F.col("s.n")).alias("mean_log_likelihood"))
+    return scored(docs, weights, words, counts).select(
+        "doc_id", F.col("n").alias("n_words"), F.col("total").alias("log_likelihood"),
+        F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean_log_likelihood"))

@@ -2,6 +2,7 @@
 
 import base64
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -286,7 +287,8 @@ def test_convolution_gradient():
 
 def test_pseudo_likelihood_learns(spark):
     docs = docs_of(spark, ["red green blue red green blue " * 40] * 20 + ["", None])
-    words = pseudo_likelihood.vocabulary(docs)
+    counts = pseudo_likelihood.counted(docs)
+    words = pseudo_likelihood.vocabulary(counts)
     assert len(words) == 3
     before = pseudo_likelihood.unpacked(pseudo_likelihood.packed(pseudo_likelihood.fresh()))
     after = pseudo_likelihood.trained(docs.repartition(2), words, rounds=3)
@@ -296,6 +298,38 @@ def test_pseudo_likelihood_learns(spark):
     assert rows[20]["n_words"] == rows[21]["n_words"] == 0 and rows[20]["mean_log_likelihood"] is None
 
 
+def test_pseudo_likelihood_of_every_word(spark, monkeypatch):
+    """Sums in plain loops over words, whatever their frequency; letter junk comes last."""
+    pl = pseudo_likelihood
+    draw = random.Random(4)
+    lexicon = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+    texts = [" ".join(lexicon[min(int(draw.expovariate(1 / 150)), 899)] for _ in range(80)) for _ in range(300)]
+    junk = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)) for _ in range(5)]
+    docs = docs_of(spark, texts + junk + [None, "", texts[0]])
+    counts = pl.counted(docs)
+    words = pl.vocabulary(counts)
+    weights = pl.trained(docs, words)
+    found = {r["doc_id"]: r for r in pl.scored(docs, weights, words, counts).collect()}
+
+    hashes = lambda text: pl.word_hashes(pl._bytes([text]))[0].astype(np.int64).tolist()      # noqa: E731
+    everywhere = Counter(h for t in texts + junk + [texts[0]] for h in hashes(t))
+    rank = {h: i for i, h in enumerate(words.astype(np.int64).tolist())}
+    others = sum(n for h, n in everywhere.items() if h not in rank)
+    assert len(rank) == pl.WORDS - 2 < len(everywhere)
+    for i in (0, 7, 301):
+        text = (texts + junk)[i]
+        total = 0.0
+        codes = [pl.WORDS - 2] * pl.REACH + [rank.get(h, pl.WORDS - 1) for h in hashes(text)] + [pl.WORDS - 2] * pl.REACH
+        for j, h in enumerate(hashes(text)):
+            total += float(pl.log_chances(weights, np.array(codes), np.array([j + pl.REACH]))[0])
+            if h not in rank:
+                total += np.log(everywhere[h] / others)
+        assert found[i]["total"] == pytest.approx(total, rel=1e-4) and found[i]["n"] == len(hashes(text))
+    means = {i: r["total"] / r["n"] for i, r in found.items() if r["n"]}
+    assert max(means[i] for i in range(300, 305)) < np.quantile([means[i] for i in range(300)], 0.05)
+    assert found[305]["total"] == found[306]["total"] == 0 and found[307]["total"] == pytest.approx(found[0]["total"], rel=1e-4)
+
+
 def test_sample_is_bounded_and_held_out(spark):
     docs = docs_of(spark, [f"text {i}" for i in range(100)])
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(100)] + [(None, 1, 1), (3, None, 0)], "doc_id long, toxic int, quality int")
