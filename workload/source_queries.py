@@ -76,3 +76,14 @@ def variable_catalogue(spark, sf):
     traits = v_part(spark, sf)
     return stored.join(null_report(traits, traits.columns), F.col("variable") == F.col("column")).select(
         "variable_group", "variable", "n_null")
+
+
+@query("publish_table", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0")
+def publish_table(spark, sf):
+    """The second of two versions of a table."""
+    from counterpoise.sources import publication as P
+    path = scratch_path(spark, "published")
+    rows = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    P.publish(rows, path)
+    P.publish(rows.filter("c_acctbal > 0"), path)
+    return P.read_published(spark, path, check=True)
