@@ -158,12 +158,37 @@ class Preparation:
     neighbours: int = 5
 
 
+@dataclass
+class FittedPreparation:
+    """What :func:`prepare` has learnt: the steps that turn rows as they come into features."""
+
+    settings: Preparation
+    encoding: TargetEncoding | None
+    kept: list[str]
+    scaling: Scaling | None
+    donors: DataFrame | None = field(repr=False)        # scaled rows that values are imputed from
+    components: Components | None
+    features: list[str]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with its feature columns replaced by ``features``; other columns pass through."""
+        if self.encoding is not None:
+            df = self.encoding.transform(df)
+        df = df.drop(*[c for c in self.settings.features if c not in self.kept])
+        if self.scaling is not None:
+            df = self.scaling.transform(df)
+        if self.donors is not None:
+            df = knn_impute(df, self.donors, self.kept, self.settings.neighbours)
+        return df if self.components is None else self.components.transform(df)
+
+
 @dataclass
 class Prepared:
     train: DataFrame
     test: DataFrame
     unlabelled: DataFrame | None
     features: list[str]
+    fitted: FittedPreparation
 
 
 def prepare(settings: Preparation, train: DataFrame, test: DataFrame | None = None,
@@ -190,21 +215,23 @@ def prepare(settings: Preparation, train: DataFrame, test: DataFrame | None = No
     fitted_on = F.col("_role") != "test"
     features = list(s.features)
     categorical = [c for c in s.categorical if c in features]
+    encoding = scaling = donors = components = None
     if categorical:
         first = stacked.filter(F.col("_role") == "train")
         reject_numeric_categories(first, categorical, s.may_be_numeric)
-        stacked = fit_target_encoding(first, categorical, s.target, s.min_samples,
-                                      s.smoothing).transform(stacked)
-        stacked = cut_lineage(stacked)
+        encoding = fit_target_encoding(first, categorical, s.target, s.min_samples, s.smoothing)
+        stacked = cut_lineage(encoding.transform(stacked))
     if s.variance is not None:
         features = variance_filter(stacked.filter(F.col("_role") == "train"), features, s.binary,
                                    s.variance)
         stacked = stacked.select("_role", *[c for c in carried if c in stacked.columns], *features)
+    kept = list(features)
     if s.scale:
-        stacked = fit_standard_scale(stacked.filter(fitted_on), features).transform(stacked)
+        scaling = fit_standard_scale(stacked.filter(fitted_on), features)
+        stacked = scaling.transform(stacked)
     if s.impute:
-        stacked = cut_lineage(knn_impute(stacked, stacked.filter(fitted_on), features,
-                                         s.neighbours))
+        donors = stacked.filter(fitted_on).select(*features)
+        stacked = cut_lineage(knn_impute(stacked, donors, features, s.neighbours))
     if s.pca:
         reduced = [c for c in s.continuous if c in features]
         if reduced:
@@ -217,4 +244,5 @@ def prepare(settings: Preparation, train: DataFrame, test: DataFrame | None = No
         return stacked.filter(F.col("_role") == role).select(*have, *features)
 
     return Prepared(part("train"), part("train" if same else "test"),
-                    part("unlabelled") if "unlabelled" in roles else None, features)
+                    part("unlabelled") if "unlabelled" in roles else None, features,
+                    FittedPreparation(s, encoding, kept, scaling, donors, components, list(features)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -84,12 +85,12 @@ def propensity_logit(df: DataFrame, key: str, target: str, features: list[str],
     Labelled rows count as selected; that is also the target of the category encoding.  ``options``
     go to the preparation (``impute``, ``neighbours``, ...).
     """
-    marked = mark_selected(df, target)
-    prepared = prepare(propensity_settings(key, features, categorical, **options), marked)
+    # whole rows go through the preparation, so that no join brings scores and rows together again
+    marked = mark_selected(df, target).withColumn("_row", F.struct(*df.columns))
+    prepared = prepare(replace(propensity_settings(key, features, categorical, **options), keep=["_row"]), marked)
     _, apply = fit_logistic(prepared.train, prepared.features, "selected")
-    scores = apply(prepared.train).select(key, F.col("probability").alias(PROPENSITY))
-    out = df.join(scores, on=key, how="left")
-    return inverse_propensity_weight(out)
+    return inverse_propensity_weight(apply(prepared.train).select(
+        *[F.col("_row")[c].alias(c) for c in df.columns], F.col("probability").alias(PROPENSITY)))
 
 
 def duplicate_report(df: DataFrame, features: list[str]) -> DataFrame:

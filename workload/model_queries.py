@@ -346,3 +346,79 @@ def logit_grid_scores(spark, sf):
     G, rows, models = _grid(spark, sf)
     means = G.held_out_scores(rows, models, G.fit_grid(rows, models)).reshape(9, 10).mean(1)
     return rounded(spark.createDataFrame([(i, float(f)) for i, f in enumerate(means)], "point int, f_beta double"))
+
+
+# ---- logistic models of one scaled feature, by Newton's method in SQL ------------------------------
+
+
+def _one_feature_sql(target: str, weight: str = "1") -> str:
+    return f"""{V_PART}, known AS (SELECT *, {target} AS t, {weight}::DOUBLE AS w FROM v_part WHERE use_m IS NOT NULL),
+  scale AS (SELECT avg(use_m)::DOUBLE AS m, stddev_pop(use_m)::DOUBLE AS s FROM known),
+  cells AS (SELECT (use_m - m) / s AS x, t AS y, sum(w) AS mass FROM known, scale WHERE t IS NOT NULL GROUP BY ALL),
+  newton AS (
+    SELECT 0 AS step, 0::DOUBLE AS b0, 0::DOUBLE AS b1
+    UNION ALL
+    SELECT step + 1, b0 - (h11*g0 - h01*g1) / (h00*h11 - h01*h01), b1 - (h00*g1 - h01*g0) / (h00*h11 - h01*h01)
+    FROM (SELECT step, b0, b1, sum(mass*(p - y)) AS g0, sum(mass*(p - y)*x) + b1 AS g1, sum(mass*p*(1 - p)) AS h00,
+            sum(mass*p*(1 - p)*x) AS h01, sum(mass*p*(1 - p)*x*x) + 1 AS h11
+          FROM (SELECT n.*, q.*, 1 / (1 + exp(-(b0 + b1*x))) AS p FROM newton n, cells q WHERE step < 25)
+          GROUP BY step, b0, b1)),
+  said AS (SELECT known.*, 1 / (1 + exp(-(b0 + b1 * (use_m - m) / s))) AS p
+    FROM known, scale, newton WHERE step = 25)"""
+
+
+@query("propensity_logit_one_feature", f"""WITH RECURSIVE {_one_feature_sql("(y IS NOT NULL)::INTEGER")}
+  SELECT name, {r('p', 'ps')}, {r('1 / p', 'weight')} FROM said""")
+def propensity_logit_one_feature(spark, sf):
+    df = v_part(spark, sf).filter("use_m is not null")
+    return rounded(W.propensity_logit(df, "name", "y", ["use_m"], []).select(
+        "name", F.col("`P(s|x)`").alias("ps"), "weight"))
+
+
+def _stored(spark, sf, spec, settings, weight=None):
+    """Fit on the labelled rows, store, load, and score all rows by the loaded pipeline."""
+    from counterpoise.operators import pipelines as P
+    from counterpoise.session import scratch_path
+    df = v_part(spark, sf).filter("use_m is not null").withColumn("w", 1.0 + F.col("part_id") % 4)
+    fitted = P.fit_pipeline(df.filter("y is not null"), df.filter("y is null"), settings, spec, "name", weight, 3)
+    path = scratch_path(spark, "pipeline")
+    P.save_pipeline(fitted, path, spark)
+    return P.load_pipeline(spark, path).score(df).select(
+        "name", F.col(f"{spec.name} Probability Estimate").alias("probability"),
+        F.col(f"{spec.name} Prediction").alias("prediction"))
+
+
+def _stored_logit(spark, sf, weight=None):
+    from counterpoise.operators import models as M
+    from counterpoise.operators.features import Preparation
+    return rounded(_stored(spark, sf, M.logit([1.0], [None]), Preparation(["use_m"], "y"), weight))
+
+
+_SAID = f"SELECT name, {r('p', 'probability')}, (p > 0.5)::INTEGER AS prediction FROM said"
+
+
+@query("stored_logit_scores", f"WITH RECURSIVE {_one_feature_sql('y')} {_SAID}")
+def stored_logit_scores(spark, sf):
+    return _stored_logit(spark, sf)
+
+
+@query("stored_logit_scores_weighted", f"WITH RECURSIVE {_one_feature_sql('y', '1 + part_id % 4')} {_SAID}")
+def stored_logit_scores_weighted(spark, sf):
+    return _stored_logit(spark, sf, "w")
+
+
+@query("stored_svm_scores")
+def stored_svm_scores(spark, sf):
+    from counterpoise.operators import models as M
+    return _stored(spark, sf, M.kernel_svm([1.0], [None], size=64), _settings(), "w")
+
+
+@query("kernel_landmarks")
+def kernel_landmarks(spark, sf):
+    """What landmarks leave of an RBF kernel over all vectors, by their number: mean and largest rest."""
+    from counterpoise.operators.kernels import landmark_map
+    full = v_emb(spark, sf)
+    columns = [c for c in full.columns if c.startswith("e") and c[1:].isdigit()]
+    rows = [(size, len(m.points), m.mean_rest, m.max_rest) for size in (16, 64, 256)
+            for m in [landmark_map(full, columns, 0.5, size)]]
+    return spark.createDataFrame(rows, "wanted int, landmarks int, mean_rest double, max_rest double")
