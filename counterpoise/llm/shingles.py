@@ -2,9 +2,10 @@
 
 A document is the set of its five-word shingles.  In each run a set picks the shingles whose hash is
 below ``CHOICE`` over its size, so two sets of Jaccard similarity 0.8 or more are expected to share
-``0.8 * CHOICE`` picks or more; sets that share a pick meet in that pick's bucket.  Buckets over
-``SMALL`` sets are split again on the picks of a second and third hash, so what only shares a frequent
-passage comes apart.  Runs repeat until the chance that a pair at the threshold never meets is below
+``0.8 * CHOICE`` picks or more; sets that share a pick meet in that pick's bucket.  Buckets with more than
+``SMALL`` open pairs a set are split again on the picks of a second and third hash, so what only shares a
+frequent passage comes apart; pairs within a group that is known already are not open, so a group of any size
+with a few strangers is not split, but met by the strangers.  Runs repeat until the chance that a pair at the threshold never meets is below
 the wanted miss rate.  What stays in a bucket is compared by brute force: sketches first, which gives
 groups of possibly similar sets, then the full sets of each group, exactly.
 """
@@ -28,9 +29,9 @@ THRESHOLD = 0.8
 CHOICE = 2.0            # expected picks of a set per run and level
 LEVELS = 3
 MISS = 1e-4             # wanted chance to miss a pair at the threshold, were it to go through all levels
-SMALL = 200             # sets in a bucket that are compared without a further split
+SMALL = 200             # open pairs a set up to which a bucket is compared without a further split
 WAVE = 2                # runs of the first wave
-KEYED_ROWS = 1_000_000  # rows of two numbers that may be broadcast, 16 MB
+KEYED_ROWS = 50_000     # rows of a few numbers that may be broadcast, 5 MB
 BLOCK = 256             # sets per block of a tile
 SKETCH = 64             # one-byte min-hashes per set
 SKETCH_LEAST = 0.55     # share of equal min-hashes from which sets are compared in full; 0.8 is 5 sd away
@@ -137,38 +138,78 @@ def classes_of(told: DataFrame) -> DataFrame:
 
 def candidates(picked: DataFrame, known: DataFrame | None, runs: list[int], levels: int, small: int = SMALL
                ) -> DataFrame:
-    """Rows ``(key, size, cid, group)`` of the buckets of ``runs`` with sets of two groups or more.
+    """Rows ``(key, size, main, main_size, cid, group)`` of the buckets of ``runs`` with sets of two groups or more.
 
     ``picked`` has cid, l0, l1, ...; ``known (node, component)`` are the groups found so far.  A bucket whose
-    sets are all in one group is left out, as they will be compared in full anyway.
+    sets are all in one group is left out, as they will be compared in full anyway.  ``main`` is the bucket's
+    largest group, ``main_size`` how many of the bucket's sets are in it.
     """
     rows = picked.select("cid", F.explode("l0").alias("key")).withColumn(
         "run", F.col("key").bitwiseAND(31).cast("int")).where(F.col("run").isin(runs))
     if known is not None:
-        rows = lookup(rows, known, {"cid": "node"}, ["component"], stored=True, broadcast_rows=KEYED_ROWS)
+        # a set has few picks, so no cid is hot
+        rows = lookup(rows, known, {"cid": "node"}, ["component"], stored=True, unique_left=True,
+                      broadcast_rows=KEYED_ROWS)
         rows = rows.withColumn("group", F.coalesce("component", "cid")).drop("component")
     else:
         rows = rows.withColumn("group", F.col("cid"))
+    told = ["size", "easy", "main", "main_size"]
     out = None
     for level in range(levels):
         slim = cut_lineage(rows)
-        sizes = cut_lineage(slim.groupBy("key").agg(
-            F.count(F.lit(1)).alias("size"), F.min("group").alias("low"), F.max("group").alias("high"))
-            .where("low < high").select("key", "size"))
-        live = lookup(slim, sizes, ["key"], ["size"], stored=True, broadcast_rows=KEYED_ROWS).where("size is not null")
+        if known is None:
+            sizes = slim.groupBy("key").agg(
+                F.count(F.lit(1)).alias("size"), F.min("group").alias("low"), F.max("group").alias("high")).select(
+                "*", (F.col("size") <= small).alias("easy"), F.col("low").alias("main"),
+                F.lit(1).cast("long").alias("main_size"))
+        else:
+            top = F.max(F.struct("n", "group"))
+            sizes = slim.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+                F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n").cast("double")).alias("closed"),
+                F.min("group").alias("low"), F.max("group").alias("high"), top.alias("top")).select(
+                "*", (F.col("size") * F.col("size").cast("double") - F.col("closed") <= F.col("size") * small).alias("easy"),
+                F.col("top.group").alias("main"), F.col("top.n").alias("main_size"))
+        sizes = cut_lineage(sizes.where("low < high").select("key", *told))
+        live = lookup(slim, sizes, ["key"], told, count="size", stored=True, broadcast_rows=KEYED_ROWS).where(
+            "size is not null")
         last = level == levels - 1
-        kept = (live if last else live.where(F.col("size") <= small)).select("key", "size", "cid", "group")
+        kept = (live if last else live.where("easy")).select("key", "size", "main", "main_size", "cid", "group")
         out = kept if out is None else out.unionByName(kept)
-        if last or sizes.where(F.col("size") > small).isEmpty():
+        if last or sizes.where("not easy").isEmpty():
             return out
         deeper = F.filter(f"l{level + 1}", lambda x: x.bitwiseAND(31) == F.col("run"))
-        rows = (live.where(F.col("size") > small).select("cid", "run", "key", "group")
+        rows = (live.where("not easy").select("cid", "run", "key", "group")
                 .join(picked.select("cid", f"l{level + 1}"), "cid")
                 .select("cid", "run", "group", "key", F.explode(deeper).alias("token"))
                 .select("cid", F.xxhash64("key", "token").alias("key"), "run", "group"))
     return out
 
 
+def dealt(buckets: DataFrame, block: int = 4 * BLOCK) -> DataFrame:
+    """Deal the rows of :func:`candidates` to tiles, so that every open pair meets in one tile.
+
+    As :func:`tiled` does, but the sets of a main group over ``block`` sets don't meet each other: each is in one block
+    alone (``tile_j`` -1), and copies of the strangers go to each such block.  So the copies grow with the strangers,
+    not with the square of the group.
+    """
+    large = F.col("main_size") > block
+    inside = large & (F.col("group") == F.col("main"))
+    count = lambda c: F.ceil(c / F.lit(block)).cast("int")                             # noqa: E731
+    others = count(F.when(large, F.col("size") - F.col("main_size")).otherwise(F.col("size")))
+    place = lambda n: F.pmod(F.xxhash64(F.lit(17), "cid"), n).cast("int")               # noqa: E731
+    tile = lambda i, j: F.struct(i.alias("tile_i"), j.alias("tile_j"))                  # noqa: E731
+    alone = F.lit(-1)
+    among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: tile(
+        F.least(F.col("part"), o), F.greatest(F.col("part"), o)))
+    across = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda b: tile(b, alone))
+    return (buckets.withColumns({"inside": inside, "mains": F.when(large, count(F.col("main_size"))).otherwise(0),
+                                 "others": others})
+            .withColumn("part", F.when(F.col("inside"), place(F.col("mains"))).otherwise(place(F.col("others"))))
+            .withColumn("tile", F.explode(F.when(F.col("inside"), F.array(tile(F.col("part"), alone)))
+                                          .when(F.col("mains") > 0, F.concat(among, across)).otherwise(among)))
+            .select("key", "tile.tile_i", "tile.tile_j", "cid", "group", "inside"))
+
+
 def possible_groups(picked: DataFrame, runs: int, levels: int) -> DataFrame:
     """Rows ``(node, component)``: classes put together by sketches in shared buckets.
 
@@ -176,9 +217,9 @@ def possible_groups(picked: DataFrame, runs: int, levels: int) -> DataFrame:
     """
     groups, edges = None, None
     for wave in [list(range(WAVE)), list(range(WAVE, runs))]:
-        buckets = candidates(picked, groups, wave, levels).join(picked.select("cid", "sketch"), "cid")
-        found = by_tile(tiled(buckets, "key", "size", "cid", 4 * BLOCK), "key").select(
-            "key", "tile_i", "tile_j", "group", "sketch").mapInPandas(_alike, "a long, b long")
+        rows = dealt(candidates(picked, groups, wave, levels)).join(picked.select("cid", "sketch"), "cid")
+        found = by_tile(rows, "key").select(
+            "key", "tile_i", "tile_j", "group", "inside", "sketch").mapInPandas(_alike, "a long, b long")
         edges = cut_lineage(found if edges is None else
                             found.union(groups.select(F.col("component").alias("a"), F.col("node").alias("b"))))
         groups = cut_lineage(connected(edges))
@@ -186,14 +227,17 @@ def possible_groups(picked: DataFrame, runs: int, levels: int) -> DataFrame:
 
 
 def _alike(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges between the groups that the sketches of a tile put together; within a group none are compared."""
+    """Edges between the groups that the sketches of a tile put together; within a group none are compared,
+    and in a tile of a large group only its sets with strangers.
+    """
     need = int(SKETCH * SKETCH_LEAST)
     for frame, starts, ends in whole_groups(frames, ["key", "tile_i", "tile_j"]):
         left, right = [], []
-        groups = frame["group"].to_numpy()
+        groups, inside, tile_j = (frame[c].to_numpy() for c in ("group", "inside", "tile_j"))
         for start, end in zip(starts, ends):
             if end - start < 2:
                 continue
+            side = inside[start:end] if tile_j[start] < 0 else None
             marks = np.frombuffer(b"".join(frame["sketch"].iloc[start:end]), np.uint8).reshape(-1, SKETCH)
             own = groups[start:end]
             _, first, place = np.unique(own, return_index=True, return_inverse=True)
@@ -201,7 +245,8 @@ def _alike(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             roots = first[place]
             for i in range(len(marks) - 1):
-                apart = i + 1 + np.flatnonzero(roots[i + 1:] != roots[i])
+                apart = i + 1 + np.flatnonzero((roots[i + 1:] != roots[i])
+                                               & (True if side is None else side[i + 1:] != side[i]))
                 if len(apart):
                     hit = apart[(marks[apart] == marks[i]).sum(axis=1) >= need]
                     for root in np.unique(roots[hit]):
@@ -274,7 +319,8 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) ->
     told = cut_lineage(described(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), runs, levels,
                                  ["doc_id", "th"]))
     classes = classes_of(told.select("doc_id", "th", "d1", "d2", "n"))
-    rows = lookup(told.select("doc_id", "th", "d1", "d2", "n"), classes, ["d1", "d2", "n"], ["cid"], stored=True)
+    rows = lookup(told.select("doc_id", "th", "d1", "d2", "n"), classes, ["d1", "d2", "n"], ["cid"], count="copies",
+                  stored=True, broadcast_rows=KEYED_ROWS)
     # picks and sketch from the row that stands for the class; repeated rows have the same ones
     heads = classes.where("n > 0").select("cid", F.col("first_doc").alias("_doc"), F.col("first_th").alias("_th"))
     picked = told.join(heads, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("th").eqNullSafe(F.col("_th"))).select(
@@ -288,8 +334,8 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) ->
                                                     F.col("first_th").alias("_th")), "node"))
     sets = with_sets(docs, wanted)
     sizes = wanted.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    dealt = tiled(lookup(sets, sizes, ["component"], ["size"]), "component", "size", "cid", BLOCK)
-    pairs = cut_lineage(by_tile(dealt, "component").mapInPandas(_verified(threshold), "a long, b long, links long"))
+    met = tiled(lookup(sets, sizes, ["component"], ["size"], count="size"), "component", "size", "cid", BLOCK)
+    pairs = cut_lineage(by_tile(met, "component").mapInPandas(_verified(threshold), "a long, b long, links long"))
     groups = connected(pairs.select("a", "b"))
     links = pairs.groupBy(F.col("b").alias("cid")).agg(F.sum("links").alias("links"))
     full = (classes.join(links, "cid", "left")
@@ -298,8 +344,8 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) ->
                     F.coalesce("_g", "cid").alias("group_cid")))
     full = cut_lineage(full)
     order = F.struct(F.col("first_doc").isNull().alias("none"), F.col("first_doc").alias("doc"), F.col("first_th").alias("th"))
-    least = full.groupBy("group_cid").agg(F.min(order).alias("least"))
-    named = lookup(full, least, ["group_cid"], ["least"]).select(
+    least = full.groupBy("group_cid").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("classes"))
+    named = lookup(full, least, ["group_cid"], ["least"], count="classes", broadcast_rows=KEYED_ROWS).select(
         "cid", "copies", "first_doc", "links", "group_cid", F.col("least.doc").alias("group_first"),
         F.col("least.th").alias("group_th"))
     return rows, cut_lineage(named)
@@ -331,7 +377,8 @@ def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     among rows equal in doc_id and text all are kept or none.
     """
     rows, classes = linked(docs, threshold)
-    out = lookup(rows, classes, ["cid"], ["copies", "links", "group_first", "group_th"], stored=True)
+    out = lookup(rows, classes, ["cid"], ["copies", "links", "group_first", "group_th"], count="copies",
+                 stored=True, broadcast_rows=KEYED_ROWS)
     kept = F.col("doc_id").eqNullSafe(F.col("group_first")) & F.col("th").eqNullSafe(F.col("group_th"))
     return out.select("doc_id", F.col("group_first").alias("class_id"),
                       (F.col("copies") - 1 + F.col("links")).alias("n_links"), kept.alias("kept"))

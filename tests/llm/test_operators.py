@@ -335,3 +335,28 @@ def test_sample_is_bounded_and_held_out(spark):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(100)] + [(None, 1, 1), (3, None, 0)], "doc_id long, toxic int, quality int")
     frame, share = labelled.training_sample(docs, labels, "toxic", labelled.remainder("doc_id", 4) != 2, per_label=10)
     assert frame["label"].value_counts().to_dict() == {0: 10, 1: 10} and 0.3 < share < 0.7
+
+
+def test_strangers_meet_a_large_group(spark):
+    """Every open pair of a bucket meets in one tile, and a large group is not copied against itself."""
+    rows = [(1, i, 7 if i < 90 else 100 + i) for i in range(100)] + [(2, i, i) for i in range(30)]
+    sizes = {1: (100, 7, 90), 2: (30, 0, 1)}
+    table = spark.createDataFrame([(key, *sizes[key], cid, group) for key, cid, group in rows],
+                                  "key long, size long, main long, main_size long, cid long, group long")
+    tiles = {}
+    out = shingles.dealt(table, 8).collect()
+    for r in out:
+        tiles.setdefault((r["key"], r["tile_i"], r["tile_j"]), []).append(r)
+    met = {}
+    for (key, _, j), part in tiles.items():
+        for a in part:
+            for b in part:
+                if a["cid"] < b["cid"] and (j >= 0 or a["inside"] != b["inside"]):
+                    met[key, a["cid"], b["cid"]] = met.get((key, a["cid"], b["cid"]), 0) + 1
+    group = {(key, cid): g for key, cid, g in rows}
+    for key, top in ((1, 100), (2, 30)):
+        for a in range(top):
+            for b in range(a + 1, top):
+                if group[key, a] != group[key, b]:
+                    assert met.get((key, a, b), 0) >= 1
+    assert sum(1 for r in out if r["key"] == 1 and r["inside"]) == 90
