@@ -360,3 +360,65 @@ def test_strangers_meet_a_large_group(spark):
                 if group[key, a] != group[key, b]:
                     assert met.get((key, a, b), 0) >= 1
     assert sum(1 for r in out if r["key"] == 1 and r["inside"]) == 90
+
+
+def test_convolution_is_the_plain_sum():
+    """Scores by loops over every text, chunk, position and byte."""
+    net = quality.Network(7)
+    net.curve = (0.7, -0.2)
+    for text in ["", None, "short", "Ärger – und mehr\n" * 9, "x" * (quality.CHUNK + 5), "abc def " * quality.CHUNK]:
+        data = (text or "").encode()
+        step = quality.CHUNK - quality.OVERLAP
+        chunks, low = [], 0
+        while not chunks or low + quality.OVERLAP < len(data):
+            chunks.append((data[low:low + quality.CHUNK]).ljust(quality.CHUNK, b"\0"))
+            low += step
+        pooled = []
+        for chunk in chunks:
+            top = np.full(quality.FILTERS, -np.inf)
+            for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                inputs = np.concatenate([net.vectors[b] for b in chunk[at:at + quality.WIDTH]])
+                top = np.maximum(top, inputs @ net.filters + net.bias)
+            pooled.append(np.maximum(top, 0))
+        told = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)])
+        want = 1 / (1 + np.exp(-(0.7 * (told @ net.out + net.offset[0]) - 0.2)))
+        assert net.scores([text])[0] == pytest.approx(float(want), abs=1e-5)
+
+
+def test_line_groups_are_brute_force(spark):
+    """Removed lines by comparing all pairs of lines of some documents."""
+    draw = random.Random(21)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrst") for _ in range(draw.randrange(4, 9)))
+    bases = [[word() for _ in range(draw.randrange(12, 30))] for _ in range(12)]
+    texts = []
+    for _ in range(25):
+        rows = []
+        for _ in range(draw.randrange(0, 5)):
+            line = list(draw.choice(bases))
+            kind = draw.randrange(4)
+            if kind == 0:
+                line[draw.randrange(len(line))] = word()
+            elif kind == 1:
+                line = [w.upper() for w in line]
+            elif kind == 2:
+                line = [word() for _ in line]
+            rows.append(" ".join(line) + draw.choice(["", "!", "  "]))
+        texts.append("\n".join(rows))
+    docs = docs_of(spark, texts)
+    spots = [(i, n, b" ".join(line.split()).decode()) for i, text in enumerate(texts)
+             for n, line in enumerate(lines.normal_lines(text)) if line.split()]
+    group = list(range(len(spots)))
+    for a in range(len(spots)):
+        for b in range(a + 1, len(spots)):
+            longest = max(len(spots[a][2]), len(spots[b][2]))
+            if group[a] != group[b] and lines.edit_distance(spots[a][2], spots[b][2]) <= 0.2 * longest + 1e-9:
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    gone = {i: [] for i in range(len(texts))}
+    best = {}
+    for place in sorted(range(len(spots)), key=lambda p: spots[p][:2]):
+        best.setdefault(group[place], place)
+        if best[group[place]] != place:
+            gone[spots[place][0]].append(spots[place][1])
+    assert any(gone.values())
+    assert {r["doc_id"]: r["removed"] or [] for r in lines.report(docs).collect()} == gone
