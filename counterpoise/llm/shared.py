@@ -14,6 +14,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def set_aside(df: DataFrame, outputs: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` without names that clash, and the renaming that brings names back.
+
+    Columns that begin with an underscore, as the working columns of the operators do, get other names until they
+    are renamed back.  Columns named like one of ``outputs`` get ``_input`` behind their names, for good.  Names are
+    compared without case, as Spark resolves them.
+    """
+    taken, back, moved = {c.lower() for c in df.columns}, {}, {}
+    for column in df.columns:
+        if column.startswith("_"):
+            new = f"kept{column}"
+        elif column.lower() in outputs:
+            new = f"{column}_input"
+        else:
+            continue
+        while new.lower() in taken:
+            new += "_"
+        taken.add(new.lower())
+        moved[column] = new
+        if column.startswith("_"):
+            back[new] = column
+    return df.withColumnsRenamed(moved), back
+
+
 def tiled(df: DataFrame, group: str, size: str, ident: str, block: int) -> DataFrame:
     """Deal the rows of each group to tiles of at most about ``2 * block`` rows.
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from counterpoise.llm.components import connected
-from counterpoise.llm.shared import Forest, by_tile, factors, mix, tiled, whole_groups, word_hashes
+from counterpoise.llm.shared import Forest, by_tile, factors, mix, set_aside, tiled, whole_groups, word_hashes
 from counterpoise.operators.skew import lookup
 from counterpoise.session import cut_lineage
 
@@ -387,13 +387,14 @@ def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id (then hash of the text).
 
-    Rows that agree in doc_id and text are reduced to one.
+    Rows that agree in doc_id and text are reduced to one.  Other columns pass through, whatever their names.
     """
     rows, classes = linked(docs, threshold)
+    docs, back = set_aside(docs)
     stays = classes.where(F.col("cid") == F.col("group_cid")).select(
         F.col("group_first").alias("_doc"), F.col("group_th").alias("_th"), F.lit(True).alias("_stays"))
     marked = docs.withColumn("_h", F.xxhash64("text"))
     kept = lookup(marked, stays, {"doc_id": "_doc", "_h": "_th"}, ["_stays"], null_safe=True).where("_stays")
     if not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "_h"])        # texts are moved only where rows repeat
-    return kept.drop("_h", "_stays")
+    return kept.drop("_h", "_stays").withColumnsRenamed(back)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 import public_tokenizers
 
@@ -422,3 +423,16 @@ def test_line_groups_are_brute_force(spark):
             gone[spots[place][0]].append(spots[place][1])
     assert any(gone.values())
     assert {r["doc_id"]: r["removed"] or [] for r in lines.report(docs).collect()} == gone
+
+
+def test_columns_with_names_of_working_columns_pass_through(spark):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
+    extra = {name: F.concat(F.lit(name), F.col("doc_id").cast("string")) for name in
+             ("_h", "_stays", "_bucket", "_hot", "_k0", "kept_h", "Gone", "th", "line", "cid", "size")}
+    docs = docs_of(spark, [f"{long}\nown {i}" if i < 4 else long for i in range(6)] + [None]).withColumns(extra)
+    for out in (lines.deduplicated(docs), shingles.one_of_each(docs)):
+        names = {c if c != "Gone" or "gone" not in out.columns else "Gone_input" for c in extra}
+        assert names <= set(out.columns) and out.count()
+        for r in out.collect():
+            assert all(r[c] == c.removesuffix("_input") + str(r["doc_id"]) for c in names)
+    assert shingles.one_of_each(docs).columns == docs.columns
