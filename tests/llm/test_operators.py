@@ -1,7 +1,9 @@
 """Small cases of the operators, each against a plain version."""
 
 import base64
+import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -198,6 +200,66 @@ def test_fingerprints(spark):
     assert fingerprints.report(docs_of(spark, ["only"])).count() == 1
 
 
+def plain_likeness(a, b):
+    """Heaviest common subsequence of all leaves, over both lengths."""
+    x, y = ([(d, int(n)) for d, n in re.findall(r"([0-9a-f]+)[.](\d+)", f.partition("=")[2])] for f in (a, b))
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, leaf in enumerate(x):
+        for j, other in enumerate(y):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + leaf[1] * (leaf == other))
+    total = sum(n for _, n in x + y)
+    return 2 * best[-1][-1] / total if total else 1.0
+
+
+def test_fingerprints_see_moves():
+    a = "Alpha here.\nBeta there.\nGamma too.\n"
+    b = "Gamma too.\nAlpha here.\nBeta there.\n"
+    x, y = fingerprints.fingerprint(a), fingerprints.fingerprint(b)
+    assert plain_likeness(x, y) < 1 and fingerprints.likeness(x, y) == pytest.approx(plain_likeness(x, y))
+    assert fingerprints.edits(x, y) == [(24, 35)] and fingerprints.moves(x, y) == [(24, 0, 11)]
+    draw = random.Random(3)
+    lines = [f"Line {i} of the text. And more of it {i * i}.\n" for i in range(60)]
+    for _ in range(40):
+        other = list(lines)
+        low, high = sorted(draw.sample(range(60), 2))
+        cut, at = other[low:high], draw.randrange(61)
+        del other[low:high]
+        if draw.random() < 0.6:
+            other[at:at] = cut
+        x, y = fingerprints.fingerprint("".join(lines)), fingerprints.fingerprint("".join(other))
+        told, best = fingerprints.likeness(x, y), plain_likeness(x, y)
+        assert best - 0.25 <= told <= best + 1e-9 and (told < 1 or x == y)
+        assert fingerprints.likeness(y, x) == pytest.approx(told, abs=0.05)
+        seen = "".join(lines)
+        assert all(seen[i:i + n] == "".join(other)[j:j + n] for i, j, n in fingerprints.moves(x, y))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fingerprints_by_brute_force(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 64)
+    draw = random.Random(8)
+    some = ["One. Two! Three?\nFour five.\n" * 3, "", "Other text here. More of it.\nEnd", "x" * 300, "é中\U0001f600 a." * 9]
+    rows = [(i, draw.choice(some) + f" {i}.") for i in range(40)] + [(None, None), (None, None), (7, ""), (50, None)]
+    rows += [(60, f"Version {i % 9} of it. Same.") for i in range(60)] + [(None, f"Nameless {i}.") for i in range(30)]
+    rows = [(f"d{i:03d}" if kind == "string" and i is not None else i, text) for i, text in rows]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    hashes = {r["t"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("t")).distinct().select(
+        "t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: hashes[r[1]], reverse=True)
+    order = (sorted((r for r in order if r[0] is not None), key=lambda r: r[0], reverse=True)
+             + [r for r in order if r[0] is None])
+    expected = Counter()
+    for (i, text), (_, following) in zip(order, order[1:] + order[:1]):
+        cut = len(text) // 3
+        edited = text[:len(text) - cut] + following[:cut]
+        own, other, after = map(fingerprints.fingerprint, (text, edited, following))
+        expected[i, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other,
+                 round(plain_likeness(own, other), 9), round(plain_likeness(own, after), 9)] += 1
+    found = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"],
+                     round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.report(docs).collect())
+    assert found == expected
+
+
 def test_roots_differ_where_short_digests_meet(monkeypatch):
     monkeypatch.setattr(fingerprints, "DIGEST", 1)
     texts = [f"Text {i}.\nEnd." for i in range(1000)]
