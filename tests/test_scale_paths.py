@@ -178,6 +178,38 @@ def test_knn_passes_over_cells_where_every_column_has_gaps(spark, monkeypatch):
     assert all_cells > 30 and sum(seen) < 0.5 * asked * all_cells
 
 
+def test_knn_compares_few_pairs_within_a_cell(monkeypatch):
+    """Boxes around few donors pass over most pairs of one cell, and the result is that of all pairs."""
+    rng = np.random.default_rng(7)
+    data = rng.normal(size=(3000, 3)).round(2)
+    data[rng.random(3000) < 0.2, 2] = np.nan
+    pairs, distances = [], knn._block_distances
+    monkeypatch.setattr(knn, "_block_distances", lambda a, b: pairs.append(len(a) * len(b)) or distances(a, b))
+    gaps = np.flatnonzero(np.isnan(data[:, 2]))
+    got = {}
+    for row, col, d, x, n in knn._nearest(data[gaps], data, np.ones(3000, int), 5, np.full((len(gaps), 3), np.inf)):
+        for i, value in zip(row, x):
+            got.setdefault(int(i), []).append(value)
+    assert sum(pairs) < 0.3 * len(gaps) * 3000
+    assert np.allclose([np.mean(got[i]) for i in range(20)], brute_knn(data[gaps[:20]], data, 5)[:, 2], atol=1e-9)
+
+
+def test_knn_cells_grow_with_the_donors(spark, monkeypatch):
+    """A named number of pivots is a least number: cells stay at about block_rows, so blocks don't meet blocks."""
+    rng = np.random.default_rng(8)
+    rows = [(float(a), float(b), float(a + b) if i % 11 else None) for i, (a, b) in enumerate(rng.normal(size=(800, 2)))]
+    df = spark.createDataFrame(rows, "c0 double, c1 double, c2 double")
+    cells, cells_of = [], knn._cells
+    monkeypatch.setattr(knn, "_cells", lambda *a: cells.append(cells_of(*a)) or cells[0])
+    out = knn_impute(df, df, ["c0", "c1", "c2"], 5, block_rows=20, pivots=4)
+    data = np.array([[np.nan if x is None else x for x in r] for r in rows])
+    gaps = np.isnan(data[:, 2])
+    got = np.array([list(r) for r in out.collect()])
+    want = np.concatenate([data[~gaps], brute_knn(data[gaps], data, 5)])
+    assert np.allclose(got[np.lexsort(got.T)], want[np.lexsort(want.T)], atol=1e-9)
+    assert cells[0].offsets[-1] + 1 >= 800 / 20
+
+
 def test_bootstrap_paths_agree(spark, monkeypatch):
     x = np.random.default_rng(3).exponential(size=3000)
     df = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(4)
