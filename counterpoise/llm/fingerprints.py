@@ -9,6 +9,7 @@ of the text it leaves.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -25,6 +26,8 @@ LEAF = 4                        # and of the digests of leaves
 RANGE_BYTES = 16 << 20          # bytes of text in a range of doc_ids, about
 RANGES = 4096                   # ranges at most
 _FRAME = 64                     # documents whose fingerprints a task holds at a time
+LINES_KEPT = 2048               # paragraphs of up to LINE_KEPT code points that a Python worker remembers: an edited
+LINE_KEPT = 2048                # text has most of its lines from the text itself and the next one
 SECTION_PARAGRAPHS = 8          # paragraphs in a section, on average
 #: Leaves: sentences, and within longer ones stretches of 60 characters.
 _LENGTH = re.compile(r"\.(\d+)")
@@ -35,15 +38,29 @@ def _digest(kind: bytes, data: bytes) -> str:
     return hashlib.blake2b(kind + data, digest_size=ROOT).hexdigest()
 
 
+def _paragraph(line: str) -> tuple[str, str]:
+    """Digest of a line, and how a fingerprint writes the line down."""
+    digest = hashlib.blake2b
+    sentences = _SENTENCE.findall(line)
+    if line.isascii():
+        leaves = [digest(b"s" + s.encode(), digest_size=ROOT).hexdigest() for s in sentences]
+    else:
+        leaves = [digest(b"s" + s.encode("utf-8", "surrogatepass"), digest_size=ROOT).hexdigest() for s in sentences]
+    node = _digest(b"p", "".join(leaves).encode())
+    return node, f"{node[:2 * DIGEST]}(" + "-".join([f"{d[:2 * LEAF]}.{len(s)}" for d, s in zip(leaves, sentences)]) + ")"
+
+
+_remembered = functools.lru_cache(maxsize=LINES_KEPT)(_paragraph)
+
+
 def fingerprint(text: str | None) -> str:
     """``root=sections``: sections joined by ``/``, each ``digest:paragraph,paragraph``, each paragraph
     ``digest(leaf.length-leaf.length)``.  Null and empty texts have the same fingerprint, a bare root."""
     sections, paragraphs, inside = [], [], []
     shown = 2 * DIGEST
     for line in (text or "").splitlines(keepends=True) if text else []:
-        leaves = [(_digest(b"s", s.encode("utf-8", "surrogatepass")), len(s)) for s in _SENTENCE.findall(line)]
-        node = _digest(b"p", "".join(d for d, _ in leaves).encode())
-        paragraphs.append(f"{node[:shown]}(" + "-".join(f"{d[:2 * LEAF]}.{n}" for d, n in leaves) + ")")
+        node, told = _remembered(line) if len(line) <= LINE_KEPT else _paragraph(line)
+        paragraphs.append(told)
         inside.append(node)
         if int(node, 16) % SECTION_PARAGRAPHS == 0:
             sections.append((_digest(b"c", "".join(inside).encode()), paragraphs))
@@ -65,7 +82,9 @@ def _inside(node: str) -> list[str]:
 
 def _size(node: str) -> int:
     """Code points under a section, paragraph or leaf."""
-    return sum(int(n) for n in _LENGTH.findall(node))
+    if node.find(".") == 2 * LEAF and "(" not in node:       # a leaf
+        return int(node[2 * LEAF + 1:])
+    return sum(map(int, _LENGTH.findall(node)))
 
 
 def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:

@@ -498,3 +498,18 @@ def test_columns_with_names_of_working_columns_pass_through(spark):
         for r in out.collect():
             assert all(r[c] == c.removesuffix("_input") + str(r["doc_id"]) for c in names)
     assert shingles.one_of_each(docs).columns == docs.columns
+
+
+def test_fingerprints_of_edited_texts_hash_few_lines_again():
+    """Lines that an edited text shares with its source are told from memory, and long ones the same without it."""
+    from counterpoise.llm import fingerprints as fp
+    lines = [f"line {i} says something. And more of it!\n" for i in range(60)]
+    edited = "".join(lines[:40]) + "new end"
+    before = fp.fingerprint("".join(lines))
+    known = fp._remembered.cache_info()
+    after = fp.fingerprint(edited)
+    now = fp._remembered.cache_info()
+    assert now.hits - known.hits == 40 and now.misses - known.misses == 1
+    assert fp.likeness(before, after) == fp.likeness(after, before) > 0.7
+    for line in lines + ["x" * 5000 + ". Ä\n", "\ud800 a.b\n"]:
+        assert fp.fingerprint(line).partition(":")[2] == fp._paragraph(line)[1]
