@@ -160,6 +160,8 @@ def _remembered(path: str) -> _Pieces:
 
 
 def encode_text(text: str | None, pieces: dict, pattern: regex.Pattern) -> np.ndarray:
+    if text and len(text) <= _CHUNK and not pattern.groups:        # all pieces at once are few enough
+        return np.frombuffer(b"".join(map(pieces.__getitem__, pattern.findall(text))), dtype=np.int32)
     out = bytearray()
     found = map(_GROUP, pattern.finditer(text or ""))
     while part := list(itertools.islice(found, _CHUNK)):

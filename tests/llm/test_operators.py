@@ -513,3 +513,31 @@ def test_fingerprints_of_edited_texts_hash_few_lines_again():
     assert fp.likeness(before, after) == fp.likeness(after, before) > 0.7
     for line in lines + ["x" * 5000 + ". Ä\n", "\ud800 a.b\n"]:
         assert fp.fingerprint(line).partition(":")[2] == fp._paragraph(line)[1]
+
+
+def test_pieces_of_short_and_long_texts(monkeypatch):
+    """Texts up to a chunk are cut at once, longer ones in chunks; both give the same ids."""
+    import public_tokenizers
+    import regex
+
+    from counterpoise.llm import bpe
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pieces, compiled = bpe._remembered(path), regex.compile(public_tokenizers.PATTERN)
+    text = "It's a test,  of 123 words\n\nand Ünïcode 中文. " * 50
+    whole = bpe.encode_text(text, pieces, compiled)
+    asked = []
+
+    class Cut:
+        groups = 0
+
+        def findall(self, value):
+            asked.append(len(value))
+            return compiled.findall(value)
+
+        def finditer(self, value):
+            return compiled.finditer(value)
+
+    assert bpe.encode_text(text, pieces, Cut()).tolist() == whole.tolist() and asked == [len(text)]
+    monkeypatch.setattr(bpe, "_CHUNK", 100)
+    assert bpe.encode_text(text, pieces, Cut()).tolist() == whole.tolist() and asked == [len(text)]
+    assert bpe.encode_text(None, pieces, Cut()).tolist() == bpe.encode_text("", pieces, Cut()).tolist() == []
