@@ -204,6 +204,21 @@ def test_kernel_mean_matching_with_the_exact_kernel(spark, monkeypatch, block):
         assert len(history) == 3            # one block ends at once
 
 
+def test_kernel_mean_matching_of_several_blocks_takes_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(W, "BLOCK", 120)
+    x = (np.random.default_rng(6).normal(size=(300, 4)) / 8).round(4)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id int, a double, b double, c double, d double")
+    out, history = W.kernel_mean_matching(df.filter("a > -0.1"), df, "id", ["a", "b", "c", "d"])
+    assert len(history) < 70                # gradient steps alone, after one round, are 513
+    picked = np.flatnonzero(x[:, 0] > -0.1)
+    fmap = feature_map("rbf", 4)
+    k = kernel_matrix(x[picked], x[picked], fmap)
+    kappa = kernel_matrix(x[picked], x, fmap).sum(1) * len(picked) / len(x)
+    w = np.array([r["weight"] for r in sorted(out.select("id", "weight").collect())])
+    slope = k @ w - kappa
+    assert (slope[w < 1 - 1e-5] > -1e-3).all() and (slope[w > 1e-5] < 1e-3).all()
+
+
 def test_poisson_copies_of_heavy_rows(spark):
     from counterpoise.operators.models import poisson_copies
     for rate in (3.0, 700.0, 800.0, 20000.0):
