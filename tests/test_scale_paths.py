@@ -194,6 +194,28 @@ def test_knn_compares_few_pairs_within_a_cell(monkeypatch):
     assert np.allclose([np.mean(got[i]) for i in range(20)], brute_knn(data[gaps[:20]], data, 5)[:, 2], atol=1e-9)
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_knn_measures_few_pairs_column_by_column(monkeypatch, shift):
+    """Products of matrices rule out most pairs that boxes do not; what is left has the distances of all pairs, ties too."""
+    rng = np.random.default_rng(9)
+    data = rng.normal(size=(1200, 6)).round(1) + shift
+    data[rng.random(data.shape) < 0.15] = np.nan
+    data[:2] = np.nan
+    gaps = np.flatnonzero(np.isnan(data).any(1))
+    pairs, distances = [], knn._pair_distances
+    monkeypatch.setattr(knn, "_pair_distances", lambda a, b: pairs.append(len(a)) or distances(a, b))
+    whole = knn._block_distances(data[gaps], data)
+    got = {}
+    for row, col, d, x, n in knn._nearest(data[gaps], data, np.ones(1200, int), 5, np.full((len(gaps), 6), np.inf)):
+        for i, c, *cand in zip(row, col, d, x):
+            got.setdefault((int(i), int(c)), []).append(tuple(cand))
+    for (i, c), cands in got.items():
+        has = np.flatnonzero(~np.isnan(data[:, c]) & ~np.isnan(whole[i]))
+        assert sorted(cands) == sorted(zip(whole[i, has], data[has, c]))[:5]
+    assert len(got) == np.isnan(data[gaps]).sum() - 12
+    assert sum(pairs) < 0.1 * len(gaps) * 1200
+
+
 def test_knn_cells_grow_with_the_donors(spark, monkeypatch):
     """A named number of pivots is a least number: cells stay at about block_rows, so blocks don't meet blocks."""
     rng = np.random.default_rng(8)
