@@ -232,6 +232,27 @@ def test_knn_cells_grow_with_the_donors(spark, monkeypatch):
     assert cells[0].offsets[-1] + 1 >= 800 / 20
 
 
+def test_knn_searches_many_small_groups_in_few_tasks(spark, monkeypatch):
+    """A task costs more than a small group, so groups share tasks."""
+    rng = np.random.default_rng(10)
+    rows = [(float(a), float(b), float(a + b) if i % 3 else None) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]
+    df = spark.createDataFrame(rows, "c0 double, c1 double, c2 double")
+    seen, search = [], knn._search
+
+    def watched(queries, donors, k):
+        keys = ["cell", "block", "part"]
+        seen.append((queries.select(*keys).distinct().count(), queries.rdd.getNumPartitions()))
+        return search(queries, donors, k)
+    monkeypatch.setattr(knn, "_search", watched)
+    out = knn_impute(df, df, ["c0", "c1", "c2"], 5, block_rows=20)
+    data = np.array([[np.nan if x is None else x for x in r] for r in rows])
+    gaps = np.isnan(data[:, 2])
+    want = np.concatenate([data[~gaps], brute_knn(data[gaps], data, 5)])
+    got = np.array([list(r) for r in out.collect()])
+    assert np.allclose(got[np.lexsort(got.T)], want[np.lexsort(want.T)], atol=1e-9)
+    assert all(groups >= 20 and tasks <= groups / 8 for groups, tasks in seen)
+
+
 def test_bootstrap_paths_agree(spark, monkeypatch):
     x = np.random.default_rng(3).exponential(size=3000)
     df = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(4)
