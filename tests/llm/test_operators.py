@@ -541,3 +541,37 @@ def test_pieces_of_short_and_long_texts(monkeypatch):
     monkeypatch.setattr(bpe, "_CHUNK", 100)
     assert bpe.encode_text(text, pieces, Cut()).tolist() == whole.tolist() and asked == [len(text)]
     assert bpe.encode_text(None, pieces, Cut()).tolist() == bpe.encode_text("", pieces, Cut()).tolist() == []
+
+
+def test_pieces_by_backtracking_are_those_of_merging():
+    from counterpoise.llm import bpe
+    ranks = {bytes([b]): b for b in range(256)}
+    ranks |= {token: 256 + i for i, token in enumerate([b"ab", b"bc", b"cd", b"abc", b"cde", b"de", b"abcd"])}
+    vocabulary, rng = bpe.Vocabulary(ranks), np.random.default_rng(3)
+
+    def merged(piece):
+        row = [bytes([b]) for b in piece]
+        while len(row) > 1 and (best := min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(row, row[1:]))))[0] < 1 << 30:
+            row[best[1]:best[1] + 2] = [row[best[1]] + row[best[1] + 1]]
+        return [ranks[x] for x in row]
+    for _ in range(500):
+        piece = bytes(rng.choice(list(b"abcde"), rng.integers(1, 12)).tolist())
+        assert vocabulary.encode(piece) == ([ranks[piece]] if piece in ranks else merged(piece))
+
+
+def test_ascii_texts_are_cut_as_by_the_whole_pattern():
+    import re
+
+    import public_tokenizers
+    import regex
+    from counterpoise.llm import bpe
+    whole = regex.compile(public_tokenizers.PATTERN)
+    quick, rng = bpe.ascii_pattern(whole), np.random.default_rng(4)
+    assert isinstance(quick, re.Pattern)
+    every = [chr(i) for i in range(128)]
+    texts = ["".join(rng.choice(every, 200)) for _ in range(300)]
+    texts += ["".join(rng.choice(list(" \t\n\x1c\x1fab1's.re"), 60)) for _ in range(500)] + every
+    assert all(quick.findall(text) == whole.findall(text) for text in texts)
+    for other in (r"(a)|\s", r"(?i)a", r"\w+", r"[^\S]"):
+        assert bpe.ascii_pattern(regex.compile(other)) is not None
+        assert isinstance(bpe.ascii_pattern(regex.compile(other)), regex.Pattern)
