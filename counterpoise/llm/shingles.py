@@ -3,7 +3,7 @@
 A document is the set of its five-word shingles.  In each run a set picks the shingles whose hash is
 below ``CHOICE`` over its size, so two sets of Jaccard similarity 0.8 or more are expected to share
 ``0.8 * CHOICE`` picks or more; sets that share a pick meet in that pick's bucket.  Buckets with more than
-``SMALL`` open pairs a set are split again on the picks of a second and third hash, so what only shares a
+``SMALL`` open pairs a set are split again by a second and third min-hash, one row a set, so what only shares a
 frequent passage comes apart; pairs within a group that is known already are not open, so a group of any size
 with a few strangers is not split, but met by the strangers.  Runs repeat until the chance that a pair at the threshold never meets is below
 the wanted miss rate.  What stays in a bucket is compared by brute force: sketches first, which gives
@@ -26,7 +26,7 @@ from counterpoise.session import cut_lineage
 
 WORDS = 5
 THRESHOLD = 0.8
-CHOICE = 2.0            # expected picks of a set per run and level
+CHOICE = 2.0            # expected picks of a set per run
 LEVELS = 3
 MISS = 1e-4             # wanted chance to miss a pair at the threshold, were it to go through all levels
 SMALL = 200             # open pairs a set up to which a bucket is compared without a further split
@@ -39,8 +39,8 @@ _U = np.uint64
 
 
 def runs_for(miss: float = MISS, threshold: float = THRESHOLD, levels: int = LEVELS) -> int:
-    """Runs needed: a run misses a pair unless it shares a pick on every level."""
-    once = (1 - math.exp(-threshold * CHOICE)) ** levels
+    """Runs needed: a run misses a pair unless it shares a pick, and the min-hash of every further level."""
+    once = (1 - math.exp(-threshold * CHOICE)) * threshold ** (levels - 1)
     return math.ceil(math.log(miss) / math.log(1 - once))
 
 
@@ -69,7 +69,10 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def describe_sets(sets: list[np.ndarray], runs: int, levels: int) -> pd.DataFrame:
-    """Digest, size, sketch and picks of sets; a pick is a token with the run in its last five bits."""
+    """Digest, size, sketch, picks and min-hashes of sets.
+
+    ``l0`` are picks, tokens with the run in their last five bits; ``l1`` and so on have a min-hash for each run.
+    """
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     out = pd.DataFrame({"d1": np.zeros(len(sets), np.int64), "d2": np.zeros(len(sets), np.int64), "n": sizes})
     sketches = [b""] * len(sets)
@@ -90,20 +93,23 @@ def describe_sets(sets: list[np.ndarray], runs: int, levels: int) -> pd.DataFram
         limit = np.minimum(1.0, CHOICE / sizes[full])
         top = np.where(limit >= 1.0, _U(2 ** 64 - 1), (limit * 2.0 ** 63).astype(np.uint64) * _U(2))
         top = np.repeat(top, sizes[full])
-        for level in range(levels):
-            where, found = [], []
-            for run, factor in enumerate(factors(runs, 10 + level)):
-                hit = np.flatnonzero(tokens * factor <= top)
-                where.append(hit)
-                found.append((tokens[hit] & ~_U(31)) | _U(run))
-            where, found = np.concatenate(where), np.concatenate(found)
-            # deeper picks only tell sets of one bucket apart: 27 bits of the token do
-            found = found.astype(np.int64) if not level else found.astype(np.uint32).view(np.int32)
-            order = np.argsort(where, kind="stable")
-            found = found[order]
-            cuts = np.searchsorted(where[order], np.r_[0, ends])
+        where, found = [], []
+        for run, factor in enumerate(factors(runs, 10)):
+            hit = np.flatnonzero(tokens * factor <= top)
+            where.append(hit)
+            found.append((tokens[hit] & ~_U(31)) | _U(run))
+        where, found = np.concatenate(where), np.concatenate(found).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        found = found[order]
+        cuts = np.searchsorted(where[order], np.r_[0, ends])
+        for at, i in enumerate(full):
+            picks[0][i] = found[cuts[at]:cuts[at + 1]]
+        # the others only tell sets of one bucket apart: 32 bits do
+        for level in range(1, levels):
+            least = np.stack([mix(np.minimum.reduceat(tokens * factor, starts)).astype(np.uint32).view(np.int32)
+                              for factor in factors(runs, 10 + level)], axis=1)
             for at, i in enumerate(full):
-                picks[level][i] = found[cuts[at]:cuts[at + 1]]
+                picks[level][i] = least[at]
     out["sketch"] = sketches
     for level in range(levels):
         out[f"l{level}"] = picks[level]
@@ -177,11 +183,9 @@ def candidates(picked: DataFrame, known: DataFrame | None, runs: list[int], leve
         out = kept if out is None else out.unionByName(kept)
         if last or sizes.where("not easy").isEmpty():
             return out
-        deeper = F.filter(f"l{level + 1}", lambda x: x.bitwiseAND(31) == F.col("run"))
         rows = (live.where("not easy").select("cid", "run", "key", "group")
                 .join(picked.select("cid", f"l{level + 1}"), "cid")
-                .select("cid", "run", "group", "key", F.explode(deeper).alias("token"))
-                .select("cid", F.xxhash64("key", "token").alias("key"), "run", "group"))
+                .select("cid", F.xxhash64("key", F.get(f"l{level + 1}", "run")).alias("key"), "run", "group"))
     return out
 
 

@@ -425,6 +425,29 @@ def test_strangers_meet_a_large_group(spark):
     assert sum(1 for r in out if r["key"] == 1 and r["inside"]) == 90
 
 
+def test_crowded_buckets_are_split_without_copies(spark):
+    """A set has one row for each bucket that is split, and near sets still meet in most runs."""
+    draw = np.random.default_rng(3)
+    passage = draw.integers(1, 2 ** 63, 60, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([passage, draw.integers(1, 2 ** 63, 140, dtype=np.uint64)])) for _ in range(300)]
+    sets += [np.sort(np.concatenate([s[:-10], draw.integers(1, 2 ** 63, 10, dtype=np.uint64)])) for s in sets[:50]]
+    runs, levels = 32, 3
+    told = shingles.describe_sets(sets, runs, levels)
+    assert all(len(x) == runs for level in (1, 2) for x in told[f"l{level}"])
+    equal = np.mean(np.stack(told["l1"].tolist()[:50]) == np.stack(told["l1"].tolist()[300:]))
+    jaccard = np.mean([len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in zip(sets[:50], sets[300:])])
+    assert abs(equal - jaccard) < 0.04
+    rows = [(i, [int(x) for x in told["l0"][i]], *[[int(x) for x in told[f"l{level}"][i]] for level in (1, 2)])
+            for i in range(len(sets))]
+    picked = spark.createDataFrame(rows, "cid long, l0 array<long>, l1 array<int>, l2 array<int>")
+    out = shingles.candidates(picked, None, list(range(runs)), levels, small=10).collect()
+    assert len(out) <= sum(len(x) for x in told["l0"])
+    met = {}
+    for r in out:
+        met.setdefault(r["key"], set()).add(r["cid"])
+    assert all(any({i, 300 + i} <= x for x in met.values()) for i in range(50))
+
+
 def test_convolution_is_the_plain_sum():
     """Scores by loops over every text, chunk, position and byte."""
     net = quality.Network(7)
