@@ -263,3 +263,14 @@ def test_bootstrap_paths_agree(spark, monkeypatch):
     for r in (one, two):
         assert r["low"] == pytest.approx(x.mean() - 1.96 * se, abs=0.25 * se)
         assert r["high"] == pytest.approx(x.mean() + 1.96 * se, abs=0.25 * se)
+
+
+def test_preparation_deals_few_files_to_all_tasks(spark):
+    """Rows of one small file are prepared by several tasks, and none is lost or changed."""
+    from counterpoise.operators.features import Preparation, prepare
+    columns = [f"c{i}" for i in range(8)]
+    df = spark.range(60_000).coalesce(1).select("id", (F.col("id") % 2).alias("y"), *[
+        F.rand(i).alias(c) for i, c in enumerate(columns)])
+    out = prepare(Preparation(columns, "y", keep=["id"], scale=False, impute=False), df).train
+    assert out.select(F.spark_partition_id()).distinct().count() >= 4
+    assert out.exceptAll(df.select("id", "y", *columns)).isEmpty() and out.count() == 60_000
