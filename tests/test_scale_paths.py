@@ -216,6 +216,45 @@ def test_knn_measures_few_pairs_column_by_column(monkeypatch, shift):
     assert sum(pairs) < 0.1 * len(gaps) * 1200
 
 
+def test_knn_keeps_few_candidates_under_a_loose_limit(monkeypatch):
+    """Where the first box leaves a wide limit, only the nearest of the other boxes and their ties are candidates."""
+    rng = np.random.default_rng(10)
+    data = rng.normal(size=(3000, 6))
+    data[rng.random(data.shape) < 0.15] = np.nan
+    gaps = np.flatnonzero(np.isnan(data).any(1))[:200]
+    told, merged = [], knn._merged
+    monkeypatch.setattr(knn, "_merged", lambda parts, k: told.append(len(parts[-1][0])) or merged(parts, k))
+    whole = knn._block_distances(data[gaps], data)
+    got = {}
+    for row, col, d, x, n in knn._nearest(data[gaps], data, np.ones(3000, int), 5, np.full((200, 6), np.inf)):
+        for i, c, *cand in zip(row, col, d, x):
+            got.setdefault((int(i), int(c)), []).append(tuple(cand))
+    for (i, c), cands in got.items():
+        has = np.flatnonzero(~np.isnan(data[:, c]) & ~np.isnan(whole[i]))
+        assert sorted(cands) == sorted(zip(whole[i, has], data[has, c]))[:5]
+    assert sum(told) < 50 * len(got)
+
+
+def test_rows_that_meet_small_encodings_are_not_written_again(spark, monkeypatch):
+    from counterpoise.operators import features as X
+    rows = [(f"r{i}", "abc"[i % 3], float(i % 7) if i % 5 else None, float(i % 4), float(i % 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "name string, g string, u double, v double, y double")
+    made = X.Preparation(["g", "u", "v"], "y", categorical=["g"], keep=["name"])
+    want = {r["name"]: r for r in X.prepare(made, df).train.collect()}
+    for limit, writes in ((X.BROADCAST_ROWS, 0), (2, 1)):
+        monkeypatch.setattr(X, "SPREAD_ROWS", 100)
+        monkeypatch.setattr(X, "BROADCAST_ROWS", limit)
+        whole, cut = [], X.cut_lineage
+        monkeypatch.setattr(X, "cut_lineage", lambda t: whole.append(t.columns) or cut(t))
+        prepared = X.prepare(made, df)
+        monkeypatch.setattr(X, "cut_lineage", cut)
+        # dealt evenly, imputed, and in between only where a table of categories is too large to broadcast
+        assert sum("name" in columns for columns in whole) == 2 + writes
+        got = {r["name"]: r for r in prepared.train.collect()}
+        assert got.keys() == want.keys()
+        assert all(got[n][c] == pytest.approx(want[n][c], abs=1e-9) for n in want for c in ("g", "u", "v"))
+
+
 def test_knn_cells_grow_with_the_donors(spark, monkeypatch):
     """A named number of pivots is a least number: cells stay at about block_rows, so blocks don't meet blocks."""
     rng = np.random.default_rng(8)
