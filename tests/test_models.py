@@ -1,5 +1,7 @@
 """Features, weights and models against direct computation."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -357,3 +359,28 @@ def test_together_or_one_by_one(parts):
     alone = M.fit_model(spec, ready.train, ready.features, "truth", "id", "w", 3).predict(ready.test).collect()
     assert len(alone) == 100 and all(got[r["id"]] == pytest.approx(r["probability"], abs=1e-6) for r in alone)
     assert len(got) == 300
+
+
+@pytest.mark.parametrize("name, weight", [("cv_biased", None)])
+def test_registered_cross_validation_is_whole(spark, sf_dir, monkeypatch, name, weight):
+    """Ten folds of ten repeats, ten inner folds, and all of the grid."""
+    import __spark_entry__
+    asked = {}
+
+    def caught(*given, **named):
+        asked.update(inspect.signature(whole).bind(*given, **named).arguments)
+        return given[0], None
+    whole = M.cross_validate
+    monkeypatch.setattr(M, "cross_validate", caught)
+    __spark_entry__.queries()[name](spark, sf_dir)
+    defaults = {p.name: p.default for p in inspect.signature(whole).parameters.values()}
+    assert [asked.get(n, defaults[n]) for n in ("k", "repeats", "inner_folds", "weight")] == [10, 10, 10, weight]
+    spec = asked["specs"][0]
+    assert [p["C"] for p in spec.grid] == M.C_GRID and spec.class_weights == M.CLASS_WEIGHTS
+
+
+def test_each_fold_comes_in_order_and_fails_as_one(spark):
+    assert K.each_fold(spark, lambda rep, fold: spark.range(10 * rep + fold).count(), 3, 4, at_once=5) == [
+        10 * rep + fold for rep in range(3) for fold in range(4)]
+    with pytest.raises(ZeroDivisionError):
+        K.each_fold(spark, lambda rep, fold: 1 // fold, 1, 3)
