@@ -384,3 +384,30 @@ def test_each_fold_comes_in_order_and_fails_as_one(spark):
         10 * rep + fold for rep in range(3) for fold in range(4)]
     with pytest.raises(ZeroDivisionError):
         K.each_fold(spark, lambda rep, fold: 1 // fold, 1, 3)
+
+
+def test_registered_model_check_is_whole(spark, sf_dir, monkeypatch):
+    """Ten folds of ten repeats of the selection model."""
+    import __spark_entry__
+    asked = {}
+
+    def caught(*given, **named):
+        asked.update(inspect.signature(whole).bind(*given, **named).arguments)
+        return given[0]
+    whole = W.propensity_model_check
+    monkeypatch.setattr(W, "propensity_model_check", caught)
+    __spark_entry__.queries()["propensity_model_check"](spark, sf_dir)
+    defaults = {p.name: p.default for p in inspect.signature(whole).parameters.values()}
+    assert [asked.get(n, defaults[n]) for n in ("k", "repeats")] == [10, 10]
+
+
+def test_model_check_scores_every_fold_of_both_feature_sets(parts):
+    got = W.propensity_model_check(parts, "id", "y", ["a", "b"], ["a"], [], k=2, repeats=2).collect()
+    assert len(got) == 2 * 2 * 2 * 3
+    marked = W.mark_selected(parts, "y")
+    folded = K.stratified_folds(marked, "id", "selected", 2, 1)
+    ready = X.prepare(W.propensity_settings("id", ["a", "b"], []), folded.filter("fold <> 1"), folded.filter("fold = 1"))
+    _, apply = W.fit_logistic(ready.train, ["a"], "selected")
+    want = apply(ready.test).agg(F.avg(F.pow(F.col("probability") - F.col("selected"), F.lit(2)))).first()[0]
+    brier = [r["value"] for r in got if (r["feature_set"], r["rep"], r["fold"], r["metric"]) == ("apriori", 1, 1, "brier")]
+    assert brier == [pytest.approx(want, abs=1e-5)]
