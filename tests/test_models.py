@@ -411,3 +411,43 @@ def test_model_check_scores_every_fold_of_both_feature_sets(parts):
     want = apply(ready.test).agg(F.avg(F.pow(F.col("probability") - F.col("selected"), F.lit(2)))).first()[0]
     brier = [r["value"] for r in got if (r["feature_set"], r["rep"], r["fold"], r["metric"]) == ("apriori", 1, 1, "brier")]
     assert brier == [pytest.approx(want, abs=1e-5)]
+
+
+def test_kernel_mean_matching_by_landmarks_takes_few_rounds(spark, monkeypatch):
+    """Rows far beyond one block, and fewer landmarks than rows: few rounds, and the exact optimum."""
+    monkeypatch.setattr(W, "BLOCK", 12)
+    monkeypatch.setattr(W, "LANDMARKS", 64, raising=False)
+    x = np.random.default_rng(8).normal(scale=0.13, size=(160, 4)).round(6)
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "id long, a double, b double, c double, d double")
+    out, history = W.kernel_mean_matching(df.filter("a < 0.1"), df, "id", ["a", "b", "c", "d"], tolerance=1e-4)
+    assert len(history) <= 14
+    ids = np.flatnonzero(x[:, 0] < 0.1)
+    w = {r["id"]: r["weight"] for r in out.collect()}
+    assert sorted(w) == ids.tolist()
+    own, fmap = x[ids], feature_map("rbf", 4)
+    w = np.array([w[i] for i in ids.tolist()])
+    slope = kernel_matrix(own, own, fmap) @ w - kernel_matrix(own, x, fmap).sum(1) * len(ids) / len(x)
+    assert (slope[w < 1 - 1e-5] > -1e-2).all() and (slope[w > 1e-5] < 1e-2).all()
+    assert np.all(np.diff(history) < 1e-6)
+
+
+def test_landmark_moves_are_the_best_under_their_kernel(spark):
+    """Weights at 0, at 1 and between, against coordinate descent on the landmarks' kernel plus the diagonal."""
+    from counterpoise.operators.kernels import LandmarkMap
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 2)).round(4)
+    near = LandmarkMap(0.5, np.empty((0, 2)), np.empty((0, 0)))
+    for point in x[:6]:
+        near = near.with_point(point)
+    w, kw, kappa = rng.random(60), rng.normal(size=60) * 3, rng.normal(size=60) * 3
+    state = spark.createDataFrame([(i, x[i].tolist(), float(w[i]), float(kw[i]), float(kappa[i])) for i in range(60)],
+                                  "i long, v array<double>, w double, kw double, kappa double")
+    phi, slope = near.matrix(x), kw - kappa
+    kernel, want = phi @ phi.T + 0.05 * np.eye(60), w.copy()
+    for _ in range(4000):
+        for i in range(60):
+            want[i] = np.clip(want[i] - (slope[i] + kernel[i] @ (want - w)) / kernel[i, i], 0, 1)
+    for afar in (True, False):
+        got = {r["i"]: r["d"] for r in W._landmark_moves(state, near, 0.05, 60, afar).collect()}
+        assert np.allclose([w[i] + got[i] for i in range(60)], want, atol=1e-5)
+    assert (want == 0).any() and (want == 1).any() and ((want > 0) & (want < 1)).any()
