@@ -361,7 +361,7 @@ def test_together_or_one_by_one(parts):
     assert len(got) == 300
 
 
-@pytest.mark.parametrize("name, weight", [("cv_biased", None)])
+@pytest.mark.parametrize("name, weight", [("cv_biased", None), ("cv_in_the_wild", "weight")])
 def test_registered_cross_validation_is_whole(spark, sf_dir, monkeypatch, name, weight):
     """Ten folds of ten repeats, ten inner folds, and all of the grid."""
     import __spark_entry__
